@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from siftline.llm import _work
 
 #: Most labelled rows of each class that are drawn for training, and the most bytes of such a row's text.
-TRAIN_ROWS = 3000
-TRAIN_BYTES = 20_000
+TRAIN_ROWS = 2000
+TRAIN_BYTES = 8_000
 #: Words of a passage; rows of the table of n-gram vectors; length of a vector; lengths of n-grams.
 PASSAGE = 4
 BUCKETS = 1 << 16
@@ -100,7 +101,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 7)
     if not len(y) or y.min() == y.max():
         return Constant()
     ids: dict[str, int] = {}
-    word_of, passage_start, doc_of_passage, size = [], [], [], []
+    word_of, passage_start, doc_of_passage, size = array("i"), array("i"), array("i"), array("i")
     for doc, text in enumerate(texts):
         words = WORDS((text or "").lower())
         for i in range(0, len(words), PASSAGE):
@@ -111,9 +112,14 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 7)
             word_of.extend(ids.setdefault(w, len(ids)) for w in part)
     if not word_of:
         return Constant()
-    bags = [grams(w) for w in ids]
-    gram, gram_start = np.concatenate(bags).astype(np.int32), np.cumsum([0, *map(len, bags)])[:-1]
-    bag_size, gram_word = np.array([len(b) for b in bags], float), np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b in bags])
+    flat, lengths = array("i"), array("i")
+    for word in ids:
+        bag = grams(word)
+        flat.extend(bag)
+        lengths.append(len(bag))
+    gram, bag_size = np.array(flat), np.array(lengths, float)
+    gram_start, gram_word = np.cumsum(bag_size.astype(int)) - bag_size.astype(int), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    n_words = len(lengths)
     word_of, passage_start, size, doc_of_passage = np.array(word_of), np.array(passage_start), np.array(size, float), np.array(doc_of_passage)
     passage_of_word = np.repeat(np.arange(len(passage_start)), np.diff([*passage_start, len(word_of)]))
     docs, doc_start = np.unique(doc_of_passage, return_index=True)
@@ -136,7 +142,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 7)
         doc_logit = np.add.reduceat(share * logit, doc_start) + bias
         error = weight * (1 / (1 + np.exp(-np.clip(doc_logit, -60, 60))) - target)
         to_passage = np.repeat(error, np.diff([*doc_start, len(logit)])) * share
-        to_word = np.bincount(word_of, (to_passage / size)[passage_of_word], len(bags)) / bag_size
+        to_word = np.bincount(word_of, (to_passage / size)[passage_of_word], n_words) / bag_size
         to_gram = np.bincount(gram, to_word[gram_word], BUCKETS)
         gradients = (to_gram[:, None] * weights + 1e-6 * vectors, vectors[used].T @ to_gram[used] + 1e-5 * weights, np.array(error.sum()))
         for p, g, (m, v), rate in zip((vectors, weights, bias), gradients, state, RATES, strict=True):
