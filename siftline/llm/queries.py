@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, mixing, secrets, sharding, toxicity
+from siftline.llm import bpe, minhash, mixing, secrets, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.Codec(ranks, public_tokenizers.PATTERN))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op5_hash_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=40)
 
@@ -38,7 +42,7 @@ def op9_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op5_hash_ring_shards, op7_secret_ownership, op9_hash_threshold_mix)}
+    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op4_minhash_near_dedup, op5_hash_ring_shards, op7_secret_ownership, op9_hash_threshold_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
