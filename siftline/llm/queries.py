@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, minhash, mixing, secrets, sharding, toxicity
+from siftline.llm import bpe, minhash, mixing, secrets, sharding, suffix, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +37,16 @@ def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), [5, 2, 1], share=1.5, most=2.0).drop("text_key", "times")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op4_minhash_near_dedup, op5_hash_ring_shards, op7_secret_ownership, op9_hash_threshold_mix)}
+    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op4_minhash_near_dedup, op5_hash_ring_shards, op7_secret_ownership, op8_prefix_free_parsing, op9_hash_threshold_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
