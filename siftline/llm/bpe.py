@@ -24,6 +24,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from siftline.llm import _work
 
@@ -178,7 +179,7 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text") -> DataFrame:
     """Adds ``ids`` (array<int>) to the rows of ``docs``; a column ``ids`` that was there is replaced."""
     _work.prepare(docs.sparkSession)
     kept = [c for c in docs.columns if c != "ids"]
-    schema = docs.select(*kept).schema.add("ids", "array<int>")
+    schema = docs.select(*kept).schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,3 +222,21 @@ def digests(docs: DataFrame, codec: Codec) -> DataFrame:
             ])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def checked(docs: DataFrame, codec: Codec, text: str = "text") -> DataFrame:
+    """``docs`` with the text replaced by ids, n_tokens and round_trip: whether the decoded ids are the text's bytes."""
+    _work.prepare(docs.sparkSession)
+    kept = [c for c in docs.columns if c not in (text, "ids", "n_tokens", "round_trip")]
+    schema = docs.select(*kept).schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (texts,) = _work.columns(batch, text)
+            packed = [codec.encode(t or "") for t in texts]
+            same = [codec.decode(p) == (t or "").encode("utf-8", "surrogatepass") for p, t in zip(packed, texts, strict=True)]
+            ids = pa.array([np.frombuffer(p, "<i4") for p in packed], pa.list_(pa.int32()))
+            own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*own, ids, pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(same, pa.bool_())], names=[*kept, "ids", "n_tokens", "round_trip"])
+
+    return docs.select(*kept, text).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, minhash, mixing, secrets, sharding, suffix, toxicity
+from siftline.llm import bpe, fingerprint, minhash, mixing, quality, secrets, sharding, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,6 +37,10 @@ def op5_hash_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
@@ -45,8 +53,12 @@ def op9_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), [5, 2, 1], share=1.5, most=2.0).drop("text_key", "times")
 
 
+def op10_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op4_minhash_near_dedup, op5_hash_ring_shards, op7_secret_ownership, op8_prefix_free_parsing, op9_hash_threshold_mix)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc_transactions, op3_byte_bpe, op4_minhash_near_dedup, op5_hash_ring_shards, op6_canonical_digest, op7_secret_ownership, op8_prefix_free_parsing, op9_hash_threshold_mix, op10_divergence_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -185,3 +185,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield _work.out(fields, [doc_ids, [held_out(i) for i in doc_ids], scores, [int(s >= 0.5) for s in scores]])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def reject(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs`` that score under 0.5, columns as they are."""
+    _work.prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = shared.value
+        for batch in batches:
+            (texts,) = _work.columns(batch, "text")
+            yield batch.filter(pa.array([judge.score(t) < 0.5 for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
