@@ -194,7 +194,7 @@ def groups(docs: DataFrame) -> DataFrame:
             ends = links.join(known.withColumnsRenamed({"id": "a", "comp": "x"}), "a", "left").join(known.withColumnsRenamed({"id": "b", "comp": "y"}), "b", "left")
             merged = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
             every = known.unionByName(merged.select("id", F.col("id").alias("comp"))).groupBy("id").agg(F.min("comp").alias("comp"))
-            every = every.join(merged.withColumnsRenamed({"id": "comp", "comp": "root"}), "comp", "left")
+            every = every.join(merged.select(F.col("comp").alias("root"), F.col("id").alias("comp")), "comp", "left")
             labels = _work.materialise(every.select("id", F.coalesce("root", "comp").alias("comp")), "labels")
 
     found = classes.select("set_hash", "id", "n")
