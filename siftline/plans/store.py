@@ -1,6 +1,6 @@
 """The store: Parquet tables with content-derived keys, merged set-wise and switched by a pointer file.
 
-A merge writes new versions of the tables it changes and then replaces ``_current.json``, so readers see a
+A merge writes new versions of the tables it changes and then replaces ``current.json``, so readers see a
 whole version or the one before it. Tables are merged by anti-joins and full outer joins on their keys.
 """
 
@@ -67,8 +67,8 @@ class Store:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(conf)
-        if self._fs.exists(self._path(f"{self.path}/_current.json")):
-            self.meta = json.loads(spark.read.text(f"{self.path}/_current.json", wholetext=True).first()[0])
+        if self._fs.exists(self._path(f"{self.path}/current.json")):
+            self.meta = json.loads(spark.read.text(f"{self.path}/current.json", wholetext=True).first()[0])
             if self.meta["version"] != VERSION:
                 raise ValueError(f"store version {self.meta['version']}, expected {VERSION}")
         elif create:
@@ -78,11 +78,11 @@ class Store:
             raise FileNotFoundError(self.path)
 
     def _publish(self) -> None:
-        pending = self._path(f"{self.path}/_pending.json")
+        pending = self._path(f"{self.path}/pending.json")
         stream = self._fs.create(pending, True)
         stream.write(bytearray(json.dumps(self.meta).encode()))
         stream.close()
-        current = self._path(f"{self.path}/_current.json")
+        current = self._path(f"{self.path}/current.json")
         if self._fs.exists(current):
             self._fs.delete(current, False)
         self._fs.rename(pending, current)
@@ -137,7 +137,7 @@ class Store:
 
         with tarfile.open(target, "w:gz") as tar:
             local = self.path.removeprefix("file://")
-            tar.add(f"{local}/_current.json", "_current.json")
+            tar.add(f"{local}/current.json", "current.json")
             for at in self.meta["tables"].values():
                 tar.add(f"{local}/{at}", at)
 
