@@ -127,7 +127,11 @@ def written(spans: Column) -> Column:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row."""
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+
+    def count(order: int) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == order)).cast("long")
+
+    counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
     every = written(F.array_sort(F.concat("base", "live")))
     return scan(docs).select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), every.alias("spans"))
 
