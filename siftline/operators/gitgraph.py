@@ -6,24 +6,10 @@ ancestors, that is an anti-join; the closure is kept to pairs that hold the blob
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder, so that a round doesn't repeat those before it."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("siftline.local.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="siftline-")
-        spark.conf.set("siftline.local.dir", base)
-    path = f"{base}/siftline/history-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from siftline.functions.shared import kept
 
 
 def expand(commits: DataFrame, entries: DataFrame) -> DataFrame:
@@ -36,7 +22,7 @@ def expand(commits: DataFrame, entries: DataFrame) -> DataFrame:
     found = None
     while True:
         below = level.join(entries, "tree_id").select("commit_id", "kind", "child_id", F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws("/", "path", "name")).alias("path"))
-        below = _kept(below)
+        below = kept(below)
         blobs = below.where(F.col("kind").isin("blob", "blob_exec")).select("commit_id", F.col("child_id").alias("blob_id"), "path")
         found = blobs if found is None else found.unionByName(blobs)
         level = below.where("kind = 'tree'").groupBy("commit_id", F.col("child_id").alias("tree_id")).agg(F.min("path").alias("path"))
@@ -54,11 +40,11 @@ def first_seen(contains: DataFrame, parents: DataFrame) -> DataFrame:
     if has_cycle(edges):
         raise ValueError("the history has a cycle")
     holders = contains.select("blob_id", F.col("commit_id").alias("from_id")).distinct()
-    reached = _kept(holders.join(edges, "from_id").select("blob_id", F.col("to_id").alias("commit_id")).distinct())
+    reached = kept(holders.join(edges, "from_id").select("blob_id", F.col("to_id").alias("commit_id")).distinct())
     front = reached
     while not front.isEmpty():
         onward = front.withColumnRenamed("commit_id", "from_id").join(edges, "from_id").select("blob_id", F.col("to_id").alias("commit_id")).distinct()
-        front = _kept(onward.join(reached, ["blob_id", "commit_id"], "left_anti"))
+        front = kept(onward.join(reached, ["blob_id", "commit_id"], "left_anti"))
         reached = reached.unionByName(front)
     return contains.join(reached, ["commit_id", "blob_id"], "left_anti")
 
@@ -67,7 +53,7 @@ def has_cycle(edges: DataFrame) -> bool:
     """Whether peeling off commits without parents ends before all are gone."""
     while True:
         inner = edges.join(edges.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi")
-        inner = _kept(inner)
+        inner = kept(inner)
         n, m = inner.count(), edges.count()
         if n == 0:
             return False

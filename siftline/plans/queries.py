@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import ids
+from siftline.functions.shared import folder, kept
 from siftline.operators import gitgraph
 from siftline.operators.redundancy import redundancy
 from siftline.operators.scan import scan
@@ -50,7 +50,7 @@ def store_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     The scan's result is written once, as the views read it many times.
     """
-    m = gitgraph._kept(matches(spark, sf_dir))
+    m = kept(matches(spark, sf_dir))
     found = blobs.distinct(inputs(spark, sf_dir)).join(m.select("blob_id").distinct(), "blob_id", "left_semi")
     first, second = F.substring("match_id", 1, 1), F.substring("match_id", 2, 1)
     catalogue = rules.frame(spark, rules.demo())
@@ -211,7 +211,7 @@ def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(MATCHES + REDUNDANT + " SELECT * FROM red")
 def match_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redundancy(gitgraph._kept(matches(spark, sf_dir)), rules.frame(spark, rules.demo()))
+    return redundancy(kept(matches(spark, sf_dir)), rules.frame(spark, rules.demo()))
 
 
 @query(STORE + " SELECT match_id, string_agg(redundant_to, ',' ORDER BY redundant_to) AS redundant_to FROM red GROUP BY match_id")
@@ -405,12 +405,11 @@ def mime_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT count(DISTINCT blob_id) FROM m) AS blobs""")
 def store_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store filled twice from the same input: nothing is new the second time."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="siftline-")
-    store, chosen = Store(spark, f"{base}/store-{uuid.uuid4().hex}"), rules.demo()
+    store, chosen = Store(spark, f"{folder(spark)}/store-{uuid.uuid4().hex}"), rules.demo()
     rows = inputs(spark, sf_dir)
     found, new = blobs.distinct(rows), []
     for _ in range(2):
-        m = gitgraph._kept(scan(found, chosen))
+        m = kept(scan(found, chosen))
         new.append(store.record(m, found, blobs.provenance(rows), rules.frame(spark, chosen)))
     counts = [store.table(t).agg(F.count(F.lit(1)).alias(n)) for t, n in (("match", "matches"), ("finding", "findings"), ("match_redundancy", "redundant"), ("blob", "blobs"))]
     out = spark.createDataFrame([(new[0], new[1])], "first_new long, second_new long")
