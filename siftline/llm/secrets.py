@@ -33,7 +33,7 @@ KINDS = {
 }
 #: Cheap tests that a text must pass to hold a match that counts.
 MAY = {
-    "assign": r"(?i:pass|secret|token|key)[a-z]{0,4}[\"']?\x20*[:=]",
+    "assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]",
     "access": r"AKIA[A-Z0-9]{16}",
     "hex": r"[0-9a-f]{24}",
 }

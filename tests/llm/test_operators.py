@@ -238,7 +238,7 @@ def test_secrets(spark, docs, odd, empty):
     live = "Zq8-Lk2_Wm5.Vb9=Xc3/Rt"
     rows = [
         (1, f'é😀 Password: "{live}" and token==ab AKIA{"Z" * 20} ' + "0a" * 20, "one"), (2, f"secret={live}", "one"), (3, "API_KEY = 'Aq1Sw2De3Fr4Gt5Hy6'", "x"), (4, "api_key = 'Aq1Sw2De3Fr4Gt5Hy6'", "y"),
-        (5, "apikey: Aq1Sw2De3Fr4Gt5Hy6", "z"), (6, "secret=token: abcdefgh", "x"), (7, "token=" + "a1" * 30 + " " + "passwd:1234567 " * 700, None),
+        (5, "apikey: Aq1Sw2De3Fr4Gt5Hy6", "z"), (6, "secret=token: abcdefgh", "x"), (8, "PASSWORD=ABCDEFGH", "x"), (9, "Api_Key : 'abcdef'", "x"), (7, "token=" + "a1" * 30 + " " + "passwd:1234567 " * 700, None),
     ]
     more = spark.createDataFrame([(*r, "q") for r in rows], "doc_id long, text string, source string, spans string")
     for df in (docs, odd, more):
