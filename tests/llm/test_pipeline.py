@@ -5,6 +5,7 @@ from collections import Counter
 
 import __spark_entry__
 import corpus_pipeline
+from tests.conftest import rows_of
 from tests.llm.test_operators import brute_components, sets_of
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,8 @@ def test_stages(spark, docs, tmp_path):
     assert set(times.values()) <= {1, 2} and set(times) <= near
     final = rows.collect()
     assert Counter(r["doc_id"] for r in final) == times and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in final)
+
+
+def test_same_rows_as_sql(spark, oracle):
+    for name, sql in __spark_entry__.llm_queries.oracle_sql().items():
+        assert rows_of(__spark_entry__.queries()[name](spark, SF).toPandas()) == rows_of(oracle(sql))
