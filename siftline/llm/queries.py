@@ -65,6 +65,29 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def _op2_sql() -> str:
+    nibbles = ", ".join(f"'{i:04b}'" for i in range(16))
+    digits = ", ".join(f"'{c}'" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT h, max(page_id) AS top FROM p GROUP BY h),
+    b AS (SELECT h, top, array_to_string([([{nibbles}])[strpos('0123456789abcdef', x)] for x in string_split(sha1(h), '')], '') AS bits FROM g),
+    k AS (SELECT h, top, array_to_string([([{digits}])[1 + 16 * CAST(bits[i] AS INT) + 8 * CAST(bits[i + 1] AS INT) + 4 * CAST(bits[i + 2] AS INT) + 2 * CAST(bits[i + 3] AS INT) + CAST(bits[i + 4] AS INT)]
+        for i in range(1, 157, 5)], '') AS digest FROM b)
+    SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to FROM p JOIN k USING (h)"""
+
+
+def _op4_sql() -> str:
+    return r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS x FROM d),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT p.x, p.y FROM p JOIN n a ON a.doc_id = p.x JOIN n b ON b.doc_id = p.y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+    e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+    r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+    m AS (SELECT x AS doc_id, min(y) AS low FROM r GROUP BY x)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
 def _op7_sql() -> str:
     kinds = []
     for i, (pattern, group, least) in enumerate(secrets.KINDS.values()):
@@ -125,4 +148,4 @@ def _op10_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """The others have hashes, models or alphabets that DuckDB lacks; tests hold them against brute force."""
-    return {"op7_secret_ownership": _op7_sql(), "op10_divergence_quality": _op10_sql()}
+    return {"op2_warc_transactions": _op2_sql(), "op4_minhash_near_dedup": _op4_sql(), "op7_secret_ownership": _op7_sql(), "op10_divergence_quality": _op10_sql()}
