@@ -43,6 +43,8 @@ PIECE = 1 << 19
 #: Phrases that are sorted at once, and different phrases of one trigger beyond which it is split by strings.
 SORTED = 8_000
 CROWDED = 20_000
+#: Crowded triggers are broadcast: there are fewer than this.
+MOST_CROWDED = 200_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _COPY = 255
 
@@ -253,8 +255,8 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = found.where("kind = 0").select("ord", "first", "last")
     left = found.where("kind = 1")
 
-    crowd = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > F.greatest(F.lit(CROWDED), F.lit(left.count() // 1000)))
-    crowd = _work.materialise(crowd.select("key"), "crowded")  # each holds over a thousandth of the rows: under 1000
+    crowd = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > F.greatest(F.lit(CROWDED), F.lit(left.count() // MOST_CROWDED)))
+    crowd = _work.materialise(crowd.select("key"), "crowded")  # under MOST_CROWDED keys, as each has more than that part of the rows
     plain = left.join(F.broadcast(crowd), "key", "left_anti")
 
     def placed(rows: DataFrame) -> DataFrame:
