@@ -9,9 +9,10 @@ cost near linear in the set where a sketch of T independent hashes pays T times
 Banding: 40 bands of 5 coordinates; a pair of similarity 0.75 shares none of them with probability
 (1 - 0.75^5)^40 = 2e-5. Candidates of a bucket are never expanded into all pairs: documents with
 equal sets are one class first; each bucket's classes are compared with one hub of the bucket, links
-join components, and the next rounds compare only classes whose component differs from that of
-another hub. At last every pair of a bucket that lies in two components, and was not compared yet,
-is verified, so no link that shows in a bucket is lost, however large the bucket. Links are confirmed
+join components, and the next round compares only classes whose component differs from that of
+another hub. What then still shares a bucket but no component goes through an exact prefix filter on
+rare shingles, and what passes is verified, so no link that shows in a bucket is lost, however large
+the bucket, and documents that share a common passage aren't paired with each other. Links are confirmed
 on full shingle sets. Components are found by spreading least labels with pointer jumping, in written
 tables; nothing comes to the driver but counts.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm import _work
@@ -36,8 +37,8 @@ from siftline.llm import _work
 WORDS_IN_SHINGLE = 5
 BANDS, ROWS = 40, 5
 T = BANDS * ROWS
-#: Rounds of one hub for each bucket before the rest is compared pair by pair.
-HUB_ROUNDS = 3
+#: Rounds of one hub for each bucket before the rest is compared by rare shingles.
+HUB_ROUNDS = 2
 #: Links: NUMERATOR * union <= DENOMINATOR * intersection.
 NUMERATOR, DENOMINATOR = 75, 100
 
@@ -150,13 +151,48 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def alike(n: Column, m: Column) -> Column:
+    """Whether sets of these sizes can be linked at all: a link's smaller set has 75 hundredths of the larger one's size."""
+    return (DENOMINATOR * F.least(n, m)) >= (NUMERATOR * F.greatest(n, m))
+
+
+def rare_pairs(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``ids`` (id, comp) of different components that can still be linked: an exact prefix filter.
+
+    With shingles in an order from the rarest on, two sets of n and m elements and similarity 0.75 share one of the first
+    n - ceil(0.75 n) + 1 of one and the like of the other. Documents that only share a common passage don't,
+    if a quarter of each is its own; so buckets full of them cost their shingles, not their pairs.
+    """
+    chosen = _work.marks(ids, "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    texts = _work.marked(texts, chosen, "id").join(ids, "id").select("id", "comp", "text")
+    fields = pa.schema([("id", pa.int64()), ("comp", pa.int64()), ("size", pa.int64()), ("shingle", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, comp, text in zip(*_work.columns(batch, "id", "comp", "text"), strict=True):
+                own = shingles(text).view(np.int64)
+                n = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(np.full(n, comp)), pa.array(np.full(n, n)), pa.array(own)], schema=fields)
+
+    rows = _work.materialise(texts.mapInArrow(run, "id long, comp long, size long, shingle long"), "shingles")
+    often = _work.materialise(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    rank = F.row_number().over(Window.partitionBy("id", "size").orderBy("often", "shingle"))
+    rows = rows.join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("rank", rank)
+    first = F.col("size") - F.ceil(F.col("size") * NUMERATOR / DENOMINATOR) + 1
+    rare = _work.materialise(rows.where((F.col("rank") <= first) & (F.col("often") > 1)).select("shingle", "id", "comp", "size"), "rare")
+    other = rare.withColumnsRenamed({"id": "x", "comp": "x_comp", "size": "x_size"})
+    pairs = rare.join(other, "shingle").where((F.col("id") < F.col("x")) & (F.col("comp") != F.col("x_comp")) & alike(F.col("size"), F.col("x_size")))
+    return pairs.select(F.col("id").alias("a"), F.col("x").alias("b"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     _work.prepare(docs.sparkSession)
     rows = _work.materialise(sketches(docs), "sketches")
-    classes = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    classes = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
     classes = _work.materialise(classes, "classes")
-    slots = classes.where("id is not null").select("id", F.explode("bands").alias("bucket"))
+    slots = classes.where("id is not null").select("id", "size", F.explode("bands").alias("bucket"))
     full = slots.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
     members = _work.materialise(slots.join(_work.materialise(full, "buckets"), "bucket").distinct(), "members")
 
@@ -166,24 +202,23 @@ def groups(docs: DataFrame) -> DataFrame:
         if labels is None:
             open_ = members.withColumn("comp", F.col("id"))
         else:
-            open_ = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+            open_ = members.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("comp", "id").alias("comp"))
             mixed = open_.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
             open_ = _work.materialise(open_.join(_work.materialise(mixed, "mixed"), "bucket"), "open")
         if turn < HUB_ROUNDS:
-            hub = F.min(F.struct(F.xxhash64(F.lit(turn), "id") if turn else F.col("id"), F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h")
-            hubs = _work.materialise(open_.groupBy("bucket").agg(hub).select("bucket", "h.hub", "h.hub_comp"), "hubs")
-            pairs = open_.join(hubs, "bucket").where("comp != hub_comp").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        else:  # what hubs left: pairs over components, each with a side outside of the bucket's largest component
-            sizes = open_.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
-            sizes = _work.materialise(sizes, "mains")
-            left = open_.join(sizes, "bucket").where("comp != main").select("bucket", F.col("id").alias("x"), F.col("comp").alias("x_comp"))
-            pairs = _work.materialise(left, "left").join(open_, "bucket").where("comp != x_comp").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
+            hub = F.min(F.struct(F.xxhash64(F.lit(turn), "id") if turn else F.col("id"), F.col("id").alias("hub"), F.col("comp").alias("hub_comp"), F.col("size").alias("hub_size"))).alias("h")
+            hubs = _work.materialise(open_.groupBy("bucket").agg(hub).select("bucket", "h.hub", "h.hub_comp", "h.hub_size"), "hubs")
+            pairs = open_.join(hubs, "bucket").where((F.col("comp") != F.col("hub_comp")) & alike(F.col("size"), F.col("hub_size"))).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+        else:
+            pairs = rare_pairs(docs, open_.select("id", "comp").distinct())
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = _work.materialise(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            if open_.isEmpty():
+                break
+            continue  # this round's hubs bring nothing new; the last round sees to all that is left
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = _work.materialise(verify(pairs, docs), "links")
         if labels is None:
