@@ -6,12 +6,12 @@ common words, summed over all documents. A document's distance to either is the
 characters or words, and the limits widen for short texts, whose histograms are noisy.
 
 The documents are read twice: once for sums by language (words are added up in each task before they are
-shuffled), once to be judged. The references are COMMON words and 10 classes for each language; a language
-whose words are under LEAST_SHARE of all is judged by the reference of all languages together, so there are
-100 languages at most in what is sent to the workers.
+shuffled), once to be judged. The references are a table of COMMON words and 10 classes for every language,
+however rare, and are joined to the documents. Neither distance is judged where the language's own sums are
+under LEAST_SUM_CHARS or LEAST_SUM_WORDS.
 
-Defined cases: null or empty texts have no words and fail the base rule; a null language is judged
-by all languages together; repeated rows are judged alike; extra columns are not read.
+Defined cases: null or empty texts have no words and fail the base rule; rows of a null language have no
+reference and are judged by the base rule only; repeated rows are judged alike; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,15 +29,19 @@ from siftline.llm import _work
 
 #: Common words of a language.
 COMMON = 50
-#: Least share of all words that gives a language its own reference.
+#: Least share of all words that gives a language its own reference in the SQL of op10; ``table`` has one for every language.
 LEAST_SHARE = 0.01
 #: Guards: least characters and words for the two judgements.
 LEAST_CHARS, LEAST_WORDS = 200, 50
+#: Guards: least sums of a language that others of its documents are judged by.
+LEAST_SUM_CHARS, LEAST_SUM_WORDS = 8_000, 2_000
 #: Limits of the distances, and how they widen with the root of the number of characters or words.
 CLASS_LIMIT, CLASS_SLACK = 0.30, 1.0
 WORD_LIMIT, WORD_SLACK = 0.36, 1.3
 #: Words of a task that are counted before the counts are passed on.
 COUNTED = 200_000
+#: References that a worker holds as histograms at a time.
+HELD = 1_000
 
 #: Base rules.
 LEAST_BASE_WORDS, MOST_REPEATED = 50, 50
@@ -87,7 +91,7 @@ def counts(docs: DataFrame) -> DataFrame:
                 if raw:
                     words.setdefault(lang, Counter()).update(raw.split())
                     sums[lang] = sums.get(lang, 0) + classes(raw)
-            if sum(map(len, words.values())) > COUNTED:
+            if sum(map(len, words.values())) + len(sums) > COUNTED:
                 yield flush(words, sums)
         yield flush(words, sums)
 
@@ -95,29 +99,32 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, word binary, class int, n long").groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
 
 
-References = dict[str | None, tuple[np.ndarray, dict[bytes, int], np.ndarray]]
+Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]
 
 
-def references(docs: DataFrame) -> References:
-    """By language (None: all together): class histogram, places of common words, their shares with the rest last."""
+def reference(classes: list[int], words: list[bytes] | None, times: list[int] | None, total: int | None) -> Reference:
+    """Class histogram, places of common words, their counts with the rest last."""
+    times = times or []
+    return np.array(classes, float), {bytes(w): i for i, w in enumerate(words or [])}, np.array([*times, (total or 0) - sum(times)], float)
+
+
+def table(docs: DataFrame) -> DataFrame:
+    """(lang, classes, words, times, total) of every language that isn't null: its class sums, common words, their counts and the count of all."""
     _work.prepare(docs.sparkSession)
-    sums = _work.materialise(counts(docs), "words")
+    sums = _work.materialise(counts(docs).where("lang is not null"), "words")
     words = sums.where("class < 0")
-    total = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = total.withColumn("share", F.col("total") / F.sum("total").over(Window.partitionBy()))
-    large = [(r["lang"], r["total"]) for r in share.where(f"share >= {LEAST_SHARE} and lang is not null").collect()]  # 100 at most
-    every = total.agg(F.sum("total")).first()[0] or 0
-    found: References = {}
-    for lang, n in [*large, (None, every)]:
-        own = words if lang is None else words.where(F.col("lang") == lang)
-        grouped = own.groupBy("word").agg(F.sum("n").alias("n")) if lang is None else own
-        top = [(bytes(r["word"]), r["n"]) for r in grouped.orderBy(F.desc("n"), "word").limit(COMMON).select("word", "n").collect()]
-        hist = np.zeros(10)
-        for r in (sums if lang is None else sums.where(F.col("lang") == lang)).where("class >= 0").groupBy("class").agg(F.sum("n").alias("n")).collect():
-            hist[r["class"]] = r["n"]
-        shares = np.array([*[k for _, k in top], n - sum(k for _, k in top)], float)
-        found[lang] = hist, {w: i for i, (w, _) in enumerate(top)}, shares
-    return found
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))  # limited in each task before the shuffle
+    top = words.withColumn("place", place).where(F.col("place") <= COMMON).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "word", "n"))).alias("top"))
+    top = top.select("lang", F.col("top.word").alias("words"), F.col("top.n").alias("times"))
+    hist = F.array(*[F.coalesce(F.sum(F.when(F.col("class") == i, F.col("n"))), F.lit(0)) for i in range(10)])
+    found = sums.where("class >= 0").groupBy("lang").agg(hist.alias("classes"))
+    found = found.join(top, "lang", "left").join(words.groupBy("lang").agg(F.sum("n").alias("total")), "lang", "left")
+    return _work.materialise(found.select("lang", "classes", "words", "times", "total"), "references")
+
+
+def references(docs: DataFrame) -> dict[str, Reference]:
+    """By language, here in the driver: for looking at few languages; ``rules`` joins the table."""
+    return {r["lang"]: reference(*r[1:]) for r in table(docs).toLocalIterator()}
 
 
 def base(text: str) -> tuple[int, int, int, int, int]:
@@ -146,14 +153,14 @@ ASCII_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 HAS_WORD = re.compile(r"[^\x20\x09-\x0D]").search
 
 
-def verdict(text: str, words: int, lang: str | None, known: References) -> tuple[float, float, bool]:
+def verdict(text: str, words: int, lang: str | None, known: dict[str, Reference]) -> tuple[float, float, bool]:
     """Both distances (0 where a guard holds back) and whether the text is within the limits."""
-    hist, place, shares = known.get(lang) or known[None]
+    hist, place, shares = known.get(lang) or reference([0] * 10, None, None, None)
     raw = text.encode("utf-8", "surrogatepass")
     by_class = by_word = 0.0
-    if len(raw) >= LEAST_CHARS and hist.sum():
+    if len(raw) >= LEAST_CHARS and hist.sum() >= LEAST_SUM_CHARS:
         by_class = distance(classes(raw), hist)
-    if words >= LEAST_WORDS and shares.sum():
+    if words >= LEAST_WORDS and shares.sum() >= LEAST_SUM_WORDS:
         own = np.zeros(len(shares))
         for w, n in Counter(raw.split()).items():
             own[place.get(w, -1)] += n
@@ -164,25 +171,31 @@ def verdict(text: str, words: int, lang: str | None, known: References) -> tuple
 FIELDS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
 
 
-def judge(docs: DataFrame, known: References) -> DataFrame:
-    """Base figures, base_failed, kept and the distances of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)  # COMMON words for 101 references at most
+def judge(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Base figures, base_failed, kept and the distances of every row, by the table ``known``."""
     types = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
     fields = pa.schema([(f.split()[0], types[f.split()[1]]) for f in FIELDS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Reference] = {}
         for batch in batches:
             rows = []
-            for doc_id, lang, text in zip(*_work.columns(batch, "doc_id", "lang", "text"), strict=True):
+            own = [batch.column(batch.schema.get_field_index(c)) for c in ("classes", "words", "times", "total")]
+            for k, (doc_id, lang, text) in enumerate(zip(*_work.columns(batch, "doc_id", "lang", "text"), strict=True)):
                 text = text or ""
+                if lang is not None and lang not in held and own[0][k].is_valid:
+                    if len(held) >= HELD:
+                        held.clear()
+                    held[lang] = reference(*[c[k].as_py() for c in own])
                 figures = base(text)
                 failed = figures[0] < LEAST_BASE_WORDS or 100 * figures[4] > MOST_REPEATED * figures[0]
-                by_class, by_word, good = verdict(text, figures[0], lang, shared.value)
+                by_class, by_word, good = verdict(text, figures[0], lang, held)
                 rows.append((doc_id, *figures, failed, not failed and good, by_class, by_word))
             yield _work.out(fields, [[r[i] for r in rows] for i in range(len(fields))])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, FIELDS)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string").alias("lang"), "text")
+    return rows.join(known, "lang", "left").mapInArrow(run, FIELDS)
 
 
 def rules(docs: DataFrame) -> DataFrame:
-    return judge(docs, references(docs))
+    return judge(docs, table(docs))

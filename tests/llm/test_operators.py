@@ -373,3 +373,20 @@ def test_quality_judges_by_language(spark, docs):
     assert quality.verdict(text, n, "en", known)[2]
     assert not quality.verdict(re.sub(r"\w+", "<#>", text), n, "en", known)[2]
     assert quality.distance(np.array([1.0, 0]), np.array([0, 2.0])) == pytest.approx(1) and quality.distance(np.array([1.0, 3]), np.array([2, 6.0])) == pytest.approx(0)
+
+
+def test_quality_of_rare_and_unknown_languages(spark, docs):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("абвгдежзиклмнопрстуя"), int(rng.integers(2, 9)))) for _ in range(400)]
+    share = 1 / np.arange(1, 401)
+    own = [" ".join(rng.choice(words, 300, p=share / share.sum())) for _ in range(13)]
+    rows = [(1000 + i, t, "ru") for i, t in enumerate(own[:10])] + [(1010, own[10], None), (1011, own[11], "uk")]
+    rows += [(1012, re.sub(r"\w+", lambda m: "<#>" + m[0][:1], own[12]), "ru")]  # junk of a rare language
+    every = docs.select("doc_id", "text", "lang")
+    for _ in range(3):
+        every = every.unionByName(every)  # so that ru has under 1% of the words
+    rows = every.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    total = rows.selectExpr("sum(size(split(text, ' ')))").first()[0]
+    assert 11 * 300 < total / 100
+    kept = {r["doc_id"]: r["kept"] for r in quality.rules(rows).where("doc_id >= 1000").collect()}
+    assert kept == {i: i != 1012 for i in range(1000, 1013)}
