@@ -2,7 +2,9 @@
 
 Patterns find candidates in whole texts; their values are hashed, the hashes counted by distinct
 owners and repositories over the corpus, and the counts tell widely copied examples from credentials
-that one owner has and that look live. The latter's values get spans of the kind ``live``.
+that one owner has and that look live. The latter's values get spans of the kind ``live``. Either count
+makes a copied example: COPIED owners, or COPIED_REPOSITORIES repositories of whichever owners, where
+copies of one text count once, as the repository of least name (near copies count each).
 
 DataFrame functions only. Spans come from the JVM's regex: ``split`` gives the text between matches
 and ``regexp_extract_all`` the matches, and running sums of their lengths in code points give the
@@ -39,6 +41,8 @@ MAY = {
 }
 #: A candidate that this many owners have is a copied example.
 COPIED = 3
+#: So is one that this many repositories have, be it of one owner: far more than one owner puts a credential of its own in.
+COPIED_REPOSITORIES = 20
 #: Values that stand for a secret in texts about them.
 PLACEHOLDER = r"(?i)example|changeme|placeholder|your[-_]|dummy|sample|xxxx|0123456|abcdef|password|secret"
 BLOCK = 256
@@ -109,10 +113,13 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
 
     candidates = rows.where(F.size("spans") > 0).select("doc_id", "text_key", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"), F.explode("spans").alias("x"))
     candidates = candidates.select("doc_id", "text_key", "owner", "repository", "x.start", "x.end", "x.hash", "x.n", "x.looks_live")
-    held = candidates.where("looks_live").groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
-    held = held.groupBy("hash", "owner").agg(F.count("one").alias("repositories")).groupBy("hash").agg(F.count("owner").alias("owners"), F.sum("repositories").alias("repositories"))
-    held = _work.materialise(held.where(F.col("owners") < COPIED), "secret-owned")
-    live = candidates.where("looks_live").join(held, "hash").select("doc_id", "text_key", (F.col("end") - F.col("n")).alias("start"), F.lit(len(KINDS)).alias("kind"), "end", "owners", "repositories")
+    looks = candidates.where("looks_live")
+    owners = looks.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias("owners"))
+    texts = looks.groupBy("hash", "text_key").agg(F.min("repository").alias("repository"))
+    repositories = texts.groupBy("hash", "repository").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias("repositories"))
+    held = owners.join(repositories, "hash").where((F.col("owners") < COPIED) & (F.col("repositories") < COPIED_REPOSITORIES))
+    held = _work.materialise(held.select("hash"), "secret-owned")
+    live = looks.join(held, "hash").select("doc_id", "text_key", (F.col("end") - F.col("n")).alias("start"), F.lit(len(KINDS)).alias("kind"), "end")
     live = live.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("live"))
     live = live.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
     base = F.transform("spans", lambda x: F.struct(x["start"], x["kind"], x["end"]))

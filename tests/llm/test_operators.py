@@ -256,6 +256,19 @@ def test_secrets(spark, docs, odd, empty):
     assert secrets.digests(empty).count() == 0
 
 
+def test_secrets_copied_within_one_owner(spark):
+    example, own, copied = "Aq1Sw2De3Fr4Gt5Hy6", "Zq8Lk2Wm5Vb9Xc3Rt7", "Pl0Ok9Ij8Uh7Yg6Tf5"
+    n = secrets.COPIED_REPOSITORIES
+    rows = [(i, f"page {i}: token={example}") for i in range(n)]  # an example in many documents of one source
+    rows += [(100 + i, f"page {i}: token={own}") for i in range(n - 1)]
+    rows += [(200 + i, f"token={copied}") for i in range(2 * n)]  # copies of one text
+    df = spark.createDataFrame([(*r, "hot") for r in rows], "doc_id long, text string, source string")
+    live = {r["doc_id"] for r in secrets.digests(df).collect() if "live" in r["spans"]}
+    assert live == {i for i, _ in rows if i >= 100}
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert masked[0] == rows[0][1] and masked[100] == "page 0: token=<SECRET>"
+
+
 # Repeated passages
 
 
