@@ -17,7 +17,8 @@ on full shingle sets. Components are found by spreading least labels with pointe
 tables; nothing comes to the driver but counts.
 
 Defined cases: null or empty texts, and texts without words, have no shingles, are linked with
-nothing and kept. Rows of one doc_id are one document for the graph. Rows with a null doc_id are linked
+nothing and kept. Rows of one doc_id share its links, and each row has the component of its own set;
+``deduplicate`` gives each row a number of its own first, so it decides by row. Rows with a null doc_id are linked
 to nothing but rows of the same set, get that class's component (null if there is none) and are kept
 only if it is null. Extra columns are not read. An empty table gives an empty result.
 """
@@ -245,6 +246,12 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one of least doc_id."""
-    gone = _work.materialise(groups(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    """``docs`` with one row of each group: the one of least doc_id, a null one last.
+
+    Rows are numbered in that order and the numbers grouped, so repeated rows leave one, rows that share a doc_id are
+    judged by their own texts, and rows of a null doc_id are members like any other.
+    """
+    rows = _work.with_rank(docs, [F.col("doc_id").cast("long").asc_nulls_last(), F.xxhash64("text").asc()], "_row", "numbered")
+    numbered = groups(rows.select(F.col("_row").alias("doc_id"), "text"))
+    gone = _work.materialise(numbered.where("not kept").select(F.col("doc_id").alias("_id")), "dropped")
+    return rows.join(gone, F.col("_row") == F.col("_id"), "left_anti").select(*docs.columns)

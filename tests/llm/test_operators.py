@@ -172,6 +172,15 @@ def test_near_duplicates_of_nothing(empty):
     assert minhash.groups(empty).count() == 0
 
 
+def test_deduplicate_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = b.replace("b0 ", "z ")
+    rows = [(3, b), (5, a), (5, b), (6, near), (6, c), (7, d), (7, d), (None, d), (None, "e " + c[::-1]), (None, "e " + c[::-1]), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in minhash.deduplicate(df).collect())
+    assert got == Counter([(3, b), (5, a), (6, c), (7, d), (None, "e " + c[::-1]), (8, None)])
+
+
 def test_sketch_estimates_similarity():
     a = minhash.mix(np.arange(1, 401, dtype=np.uint64))
     b = minhash.mix(np.arange(101, 501, dtype=np.uint64))
