@@ -45,6 +45,8 @@ COPIED = 3
 COPIED_REPOSITORIES = 20
 #: Values that stand for a secret in texts about them.
 PLACEHOLDER = r"(?i)example|changeme|placeholder|your[-_]|dummy|sample|xxxx|0123456|abcdef|password|secret"
+#: Matches whose value is a password by its keyword: judged by ownership and placeholders, however short or plain.
+PASSWORD = r"^(?i:password|passwd)"
 BLOCK = 256
 
 
@@ -77,7 +79,7 @@ def starts(parts: Column, hits: Column) -> Column:
     return let(F.zip_with(gaps, F.slice(before, F.lit(1), F.size(hits)), lambda g, h: g + h), running)
 
 
-SPANS = "array<struct<start:long,kind:int,end:long,value:string>>"
+SPANS = "array<struct<start:long,kind:int,end:long,value:string,password:boolean>>"
 
 
 def found(text: Column, order: int, kind: str) -> Column:
@@ -87,17 +89,18 @@ def found(text: Column, order: int, kind: str) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
 
     def spans(m: Column) -> Column:
-        ends = F.zip_with(starts(m["parts"], m["hits"]), m["hits"], lambda s, h: F.struct(s.alias("start"), (s + F.length(h)).alias("end")))
-        return F.zip_with(ends, m["values"], lambda e, v: F.struct(e["start"].alias("start"), F.lit(order).alias("kind"), e["end"].alias("end"), v.alias("value")))
+        ends = F.zip_with(starts(m["parts"], m["hits"]), m["hits"], lambda s, h: F.struct(s.alias("start"), (s + F.length(h)).alias("end"), h.rlike(PASSWORD).alias("password")))
+        return F.zip_with(ends, m["values"], lambda e, v: F.struct(e["start"].alias("start"), F.lit(order).alias("kind"), e["end"].alias("end"), v.alias("value"), e["password"].alias("password")))
 
     matches = F.struct(F.split(text, pattern, -1).alias("parts"), hits.alias("hits"), values.alias("values"))
     none = F.array().cast(SPANS)
     return F.when(text.rlike(MAY[kind]), F.filter(let(matches, spans).cast(SPANS), lambda x: F.length(x["value"]) >= least)).otherwise(none)
 
 
-def live_looking(value: Column) -> Column:
-    """Long, of many different characters, letters and digits both, and no placeholder."""
-    return (F.length(value) >= 16) & (F.size(F.array_distinct(F.split(value, ""))) >= 9) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
+def live_looking(value: Column, password: Column) -> Column:
+    """No placeholder, and a password or else long, of many different characters, letters and digits both."""
+    key = (F.length(value) >= 16) & (F.size(F.array_distinct(F.split(value, ""))) >= 9) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    return (password | key) & ~value.rlike(PLACEHOLDER)
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
@@ -108,7 +111,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), text.alias("text"))
     spans = F.concat(*[found(F.col("text"), i, kind) for i, kind in enumerate(KINDS)])
-    spans = F.transform(F.array_sort(spans), lambda x: F.struct(x["start"], x["kind"], x["end"], F.sha2(x["value"], 256).alias("hash"), F.length(x["value"]).alias("n"), live_looking(x["value"]).alias("looks_live")))
+    spans = F.transform(F.array_sort(spans), lambda x: F.struct(x["start"], x["kind"], x["end"], F.sha2(x["value"], 256).alias("hash"), F.length(x["value"]).alias("n"), live_looking(x["value"], x["password"]).alias("looks_live")))
     rows = _work.materialise(rows.select("doc_id", "text_key", "owner", "repository", spans.alias("spans")), "secret-spans")
 
     candidates = rows.where(F.size("spans") > 0).select("doc_id", "text_key", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"), F.explode("spans").alias("x"))

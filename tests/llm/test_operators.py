@@ -278,6 +278,13 @@ def test_secrets_copied_within_one_owner(spark):
     assert masked[0] == rows[0][1] and masked[100] == "page 0: token=<SECRET>"
 
 
+def test_short_passwords_are_live(spark):
+    rows = [(1, "password: hunter2Xq", "a"), (2, "Passwd=834615", "a"), (3, "token=hunter2Xq", "a"), (4, "password=changeme1", "a"), (5, "password=ab1", "a"), *[(6 + i, f"{i} password=letmein77", s) for i, s in enumerate("abc")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["doc_id"] for r in secrets.digests(df).collect() if "live" in r["spans"]} == {1, 2}
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}[1] == "password: <SECRET>"
+
+
 # Repeated passages
 
 
