@@ -11,10 +11,11 @@ Banding: 40 bands of 5 coordinates; a pair of similarity 0.75 shares none of the
 equal sets are one class first; each bucket's classes are compared with one hub of the bucket, links
 join components, and the next round compares only classes whose component differs from that of
 another hub. What then still shares a bucket but no component goes through an exact prefix filter on
-rare shingles, and what passes is verified, so no link that shows in a bucket is lost, however large
-the bucket, and documents that share a common passage aren't paired with each other. Links are confirmed
-on full shingle sets. Components are found by spreading least labels with pointer jumping, in written
-tables; nothing comes to the driver but counts.
+rare shingles that also asks where in both sets the shared shingle stands, and what passes is verified, so no
+link that shows in a bucket is lost, however large the bucket, and documents that share a common passage aren't
+paired with each other. Links are confirmed on full shingle sets: the sets of documents that share a bucket
+are written once, as arrays, and compared in the JVM. Components are found by spreading least labels with
+pointer jumping, in written tables; nothing comes to the driver but counts.
 
 Defined cases: null or empty texts, and texts without words, have no shingles, are linked with
 nothing and kept. Rows of one doc_id share its links, and each row has the component of its own set;
@@ -110,28 +111,39 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts are linked, compared on full sets; texts of no pair aren't shuffled."""
-    chosen = _work.marks(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, key (64 bits of the set), shingles (sorted array) of the rows whose doc_id is among ``ids``, and of few others."""
+    chosen = _work.marks(ids, "id")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    texts = _work.marked(texts, chosen, "id")
-    both = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-    fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    fields = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.empty(0, np.uint64)
         for batch in batches:
-            linked = []
-            for a, b, text_a, text_b in zip(*_work.columns(batch, "a", "b", "text_a", "text_b"), strict=True):
-                if text_a != last:
-                    last, held = text_a, shingles(text_a)
-                other = shingles(text_b)
-                common = len(held) + len(other) - len(np.union1d(held, other))
-                if common and DENOMINATOR * common >= NUMERATOR * (len(held) + len(other) - common):
-                    linked.append((a, b))
-            yield _work.out(fields, [[p[0] for p in linked], [p[1] for p in linked]])
+            own, texts = _work.columns(batch, "id", "text")
+            rows, sets, size = [], [], 0
+            for i, text in zip(own, texts, strict=True):
+                if len(found := shingles(text)):
+                    rows.append((i, xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)))
+                    sets.append(found.view(np.int64))
+                    size += len(found)
+                if size > 1 << 20:
+                    yield _work.out(fields, [[r[0] for r in rows], [r[1] for r in rows], lists(sets)])
+                    rows, sets, size = [], [], 0
+            yield _work.out(fields, [[r[0] for r in rows], [r[1] for r in rows], lists(sets)])
+
+    return _work.marked(texts, chosen, "id").mapInArrow(run, "id long, key long, shingles array<long>")
+
+
+def lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose sets are linked: common * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (n + m)."""
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    linked = (NUMERATOR + DENOMINATOR) * F.size(F.array_intersect("x", "y")) >= NUMERATOR * (F.size("x") + F.size("y"))
+    return both.where(linked).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,34 +169,29 @@ def alike(n: Column, m: Column) -> Column:
     return (DENOMINATOR * F.least(n, m)) >= (NUMERATOR * F.greatest(n, m))
 
 
-def rare_pairs(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``ids`` (id, comp) of different components that can still be linked: an exact prefix filter.
+def rare_pairs(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``ids`` (id, comp) of different components that can still be linked: an exact filter.
 
-    With shingles in an order from the rarest on, two sets of n and m elements and similarity 0.75 share one of the first
-    n - ceil(0.75 n) + 1 of one and the like of the other. Documents that only share a common passage don't,
-    if a quarter of each is its own; so buckets full of them cost their shingles, not their pairs.
+    The shingles of each set stand in one order, from the rarest on. If two sets of n <= m elements are linked and
+    i and j elements stand before the first that they share, then what is left of each, n - i and m - j, is no less
+    than their intersection, which is 3/7 (n + m) at least (for 0.75). So i <= n / 7 and j <= m / 4, and the smaller
+    set meets others by its first n / 7 elements alone. Documents that only share a common passage don't pass: the
+    passage stands behind what is their own.
     """
-    chosen = _work.marks(ids, "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    texts = _work.marked(texts, chosen, "id").join(ids, "id").select("id", "comp", "text")
-    fields = pa.schema([("id", pa.int64()), ("comp", pa.int64()), ("size", pa.int64()), ("shingle", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, comp, text in zip(*_work.columns(batch, "id", "comp", "text"), strict=True):
-                own = shingles(text).view(np.int64)
-                n = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(np.full(n, comp)), pa.array(np.full(n, n)), pa.array(own)], schema=fields)
-
-    rows = _work.materialise(texts.mapInArrow(run, "id long, comp long, size long, shingle long"), "shingles")
-    often = _work.materialise(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
-    rank = F.row_number().over(Window.partitionBy("id", "size").orderBy("often", "shingle"))
-    rows = rows.join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("rank", rank)
-    first = F.col("size") - F.ceil(F.col("size") * NUMERATOR / DENOMINATOR) + 1
-    rare = _work.materialise(rows.where((F.col("rank") <= first) & (F.col("often") > 1)).select("shingle", "id", "comp", "size"), "rare")
-    other = rare.withColumnsRenamed({"id": "x", "comp": "x_comp", "size": "x_size"})
-    pairs = rare.join(other, "shingle").where((F.col("id") < F.col("x")) & (F.col("comp") != F.col("x_comp")) & alike(F.col("size"), F.col("x_size")))
-    return pairs.select(F.col("id").alias("a"), F.col("x").alias("b"))
+    rows = sets.join(ids, "id").select("id", "key", "comp", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    often = sets.join(ids.select("id"), "id").select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    often = _work.materialise(often, "often")
+    before = F.row_number().over(Window.partitionBy("id", "key").orderBy("often", "shingle")) - 1
+    rows = rows.join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("left", F.col("size") - before)
+    whole = NUMERATOR + DENOMINATOR
+    larger = whole * F.col("left") >= NUMERATOR * (F.col("size") + F.col("size") * NUMERATOR / DENOMINATOR)
+    rare = _work.materialise(rows.where(larger & (F.col("often") > 1)).select("shingle", "id", "comp", "size", "left"), "rare")
+    first = rare.where(whole * F.col("left") >= 2 * NUMERATOR * F.col("size"))
+    other = rare.select("shingle", F.col("id").alias("x"), F.col("comp").alias("x_comp"), F.col("size").alias("x_size"), F.col("left").alias("x_left"))
+    ordered = F.struct("size", "id") < F.struct("x_size", "x")
+    enough = whole * F.least("left", "x_left") >= NUMERATOR * (F.col("size") + F.col("x_size"))
+    pairs = first.join(other, "shingle").where(ordered & (F.col("comp") != F.col("x_comp")) & enough)
+    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -196,6 +203,7 @@ def groups(docs: DataFrame) -> DataFrame:
     slots = classes.where("id is not null").select("id", "size", F.explode("bands").alias("bucket"))
     full = slots.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
     members = _work.materialise(slots.join(_work.materialise(full, "buckets"), "bucket").distinct(), "members")
+    sets = _work.materialise(sets_of(docs, members.select("id").distinct()).dropDuplicates(["id", "key"]), "sets")
 
     labels = None
     tried = None
@@ -211,7 +219,7 @@ def groups(docs: DataFrame) -> DataFrame:
             hubs = _work.materialise(open_.groupBy("bucket").agg(hub).select("bucket", "h.hub", "h.hub_comp", "h.hub_size"), "hubs")
             pairs = open_.join(hubs, "bucket").where((F.col("comp") != F.col("hub_comp")) & alike(F.col("size"), F.col("hub_size"))).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
         else:
-            pairs = rare_pairs(docs, open_.select("id", "comp").distinct())
+            pairs = rare_pairs(sets, open_.select("id", "comp").distinct())
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -221,7 +229,7 @@ def groups(docs: DataFrame) -> DataFrame:
                 break
             continue  # this round's hubs bring nothing new; the last round sees to all that is left
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = _work.materialise(verify(pairs, docs), "links")
+        links = _work.materialise(verify(pairs, sets), "links")
         if labels is None:
             labels = components(links)
         elif not links.isEmpty():
@@ -240,7 +248,9 @@ def groups(docs: DataFrame) -> DataFrame:
         found = found.withColumn("comp", F.lit(None).cast("long"))
     found = found.select("set_hash", F.coalesce("comp", "id").alias("component"), "id", "n").where("n > 1 or component != id or id is null")
     found = _work.materialise(found.select("set_hash", "component"), "decided")
-    rows = rows.select("doc_id", "n_shingles", "set_hash").join(found, "set_hash", "left")
+    rows = rows.select("doc_id", "n_shingles", "set_hash")
+    alone = rows.where("set_hash is null").withColumn("component", F.lit(None).cast("long"))  # not dealt by a null key
+    rows = rows.where("set_hash is not null").join(found, "set_hash", "left").unionByName(alone)
     component = F.coalesce("component", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
