@@ -6,7 +6,9 @@ bottom up; a heap holds the ranks of neighbouring pairs of a doubly linked list
 run of n bytes takes O(n log n) steps however long it is.
 
 Nulls are empty texts; an empty text has no ids; rows are handled one by one, so repeated rows,
-ties and extra columns do not matter.
+ties and extra columns do not matter. A very long text takes memory in proportion to its ids, and a run without a
+split in it (white space, say) that of its heap. What a task remembers of pre-tokens ends with the task: the codec is
+unpickled for each.
 """
 
 from __future__ import annotations
@@ -28,12 +30,10 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from siftline.llm import _work
 
-#: Distinct pre-tokens that a worker remembers with their ids; beyond it the memory starts anew.
-REMEMBERED = 800_000
+#: Distinct pre-tokens that a task remembers with their ids (some 200 bytes each); beyond it the memory starts anew.
+REMEMBERED = 120_000
 #: Longer pre-tokens are not remembered.
 LONG = 32
-#: What this process remembers, by codec: later tasks of a worker go on with it.
-_memories: dict[str, dict[str, bytes]] = {}
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -111,21 +111,18 @@ class Codec:
         self.vocabulary = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.vocabulary[rank] = token
-        self.key = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
         self._start()
 
     def _start(self) -> None:
-        if self.key not in _memories:
-            _memories.clear()
-        self.memory = _memories.setdefault(self.key, {})
+        self.memory: dict[str, bytes] = {}
         self.split = regex.compile(self.pattern).findall
         self.split_plain = re.compile(plain).findall if (plain := in_plain_letters(self.pattern)) else self.split
 
     def __getstate__(self) -> tuple:
-        return self.key, self.pattern, self.table, self.ranks, self.vocabulary
+        return self.pattern, self.table, self.ranks, self.vocabulary
 
     def __setstate__(self, state: tuple) -> None:
-        self.key, self.pattern, self.table, self.ranks, self.vocabulary = state
+        self.pattern, self.table, self.ranks, self.vocabulary = state
         self._start()
 
     def merge(self, piece: bytes) -> list[int]:
