@@ -1,17 +1,19 @@
-"""Toxicity by averaged subword bags: each word is the mean of its character n-gram vectors, a text's
-passages are means of their words, and a linear softmax over the two classes scores them. Vectors and
-softmax are trained jointly in numpy; a misspelling never seen shares most n-grams with its original.
-
-A text is cut into passages of ``PASSAGE`` words, as a few words of abuse vanish in the mean of a long
-text; its score is that of its worst passage, and training sends the gradient there.
-
-Fit: on a bounded sample of labelled rows (``TRAIN_ROWS`` of each class at most, by hash of doc_id);
-words go to the driver as counts, not as texts longer than ``TRAIN_BYTES`` each (longer rows aren't
-drawn). Scoring covers every row and whole texts.
-
-Defined cases: null or empty text has no words and scores the bias alone; rows without label, with a
-null label or a null doc_id are not trained on; repeated rows score alike; with no label at all, or
-one class only, every score is 0. Extra columns are not read.
+"""Toxicity by averaged subword bags: a word is the mean of the vectors of its character n-grams and of itself,
+a passage the mean of its words, and a linear softmax over the two classes scores that mean. Vectors and softmax are
+trained jointly in numpy; a misspelling never seen shares most n-grams with its original.
+
+A text is averaged over each run of ``PASSAGE`` words that it holds, from every word on, and its score is that of its
+worst run: a few words of abuse vanish in the mean of a whole text (the README has figures of both). Training sends
+the gradient to the worst runs.
+
+Fit: on a bounded sample of labelled rows (at most ``TRAIN_ROWS`` of each class, the first by hash of doc_id among
+those whose text has at most ``TRAIN_BYTES`` bytes), which goes to the driver. Scoring covers every row and whole texts.
+
+Defined cases: null or empty text has no words and scores the biases alone; rows without label, with a null label or a
+null doc_id are not trained on; a doc_id labelled more than once is toxic if one label says so, and of texts that share
+a doc_id the one of least hash is trained on; a row of null doc_id is not held out; repeated rows score alike; with no
+label at all, or one class only, every score is 0. Long texts take time and memory in proportion. Extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -32,17 +34,18 @@ from siftline.llm import _work
 
 #: Most labelled rows of each class that are drawn for training, and the most bytes of such a row's text.
 TRAIN_ROWS = 2000
-TRAIN_BYTES = 8_000
+TRAIN_BYTES = 20_000
 #: Words of a passage; rows of the table of n-gram vectors; length of a vector; lengths of n-grams.
 PASSAGE = 4
 BUCKETS = 1 << 16
 DIM = 8
 GRAMS = (3, 4, 5, 6)
 EPOCHS = 100
-#: Length of a step for vectors, softmax weights and bias.
+#: Length of a step, and decay, for vectors, softmax weights and biases.
 RATES = (40.0, 0.1, 0.1)
-#: Words whose score a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+DECAYS = (1e-6, 1e-5, 0.0)
+#: Words whose logit a task remembers; beyond it the memory starts anew.
+REMEMBERED = 100_000
 
 WORDS = re.compile(r"[^\W_]+", re.UNICODE).findall
 
@@ -55,44 +58,125 @@ def grams(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in sorted(seen)]
 
 
+def worst(values: list[float]) -> float:
+    """The highest mean of PASSAGE successive values (of all, where there are fewer); 0 of none."""
+    if len(values) <= PASSAGE:
+        return sum(values) / max(len(values), 1)
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    return float((total[PASSAGE:] - total[:-PASSAGE]).max()) / PASSAGE
+
+
 @dataclass
 class Model:
-    """A linear model of averages needs only one number for each n-gram when it scores: vectors times softmax weights."""
+    """Vectors (BUCKETS x DIM), softmax weights (DIM x 2), biases (2)."""
 
     vectors: np.ndarray
     weights: np.ndarray
-    bias: float
+    biases: np.ndarray
+
+    def scorer(self) -> Scorer:
+        """What scoring needs: as all is linear, the difference of the classes' logits for each n-gram."""
+        return Scorer(self.vectors @ (self.weights[:, 1] - self.weights[:, 0]), float(self.biases[1] - self.biases[0]))
 
-    def __post_init__(self) -> None:
-        self.by_gram = self.vectors @ self.weights
-        self.memory: dict[str, float] = {}
+
+@dataclass
+class Scorer:
+    by_gram: np.ndarray
+    bias: float
 
     def word(self, word: str) -> float:
-        if len(self.memory) >= REMEMBERED:
-            self.memory.clear()
         ids = grams(word)
-        self.memory[word] = value = float(self.by_gram[ids].sum()) / len(ids)
-        return value
+        return float(self.by_gram[ids].sum()) / len(ids)
+
+    def score(self, text: str | None, memory: dict[str, float] | None = None) -> float:
+        """Probability of the toxic class; ``memory`` keeps words' logits from one text to the next."""
+        memory = {} if memory is None else memory
+        values = []
+        for w in WORDS((text or "").lower()):
+            if (value := memory.get(w)) is None:
+                if len(memory) >= REMEMBERED:
+                    memory.clear()
+                memory[w] = value = self.word(w)
+            values.append(value)
+        return float(1 / (1 + np.exp(-np.clip(worst(values) + self.bias, -60, 60))))
+
+
+class Constant:
+    """Where nothing can be learnt."""
 
-    def score(self, text: str | None) -> float:
-        known, word = self.memory.get, self.word
-        values = [word(w) if (v := known(w)) is None else v for w in WORDS((text or "").lower())]
-        worst = max((sum(p := values[i : i + PASSAGE]) / len(p) for i in range(0, len(values), PASSAGE)), default=0.0)
-        return float(1 / (1 + np.exp(-np.clip(worst + self.bias, -60, 60))))
+    def scorer(self) -> Constant:
+        return self
 
+    def score(self, text: str | None, memory: dict[str, float] | None = None) -> float:
+        return 0.0
 
-class Constant(Model):
-    """Where nothing can be learnt."""
 
-    def __init__(self) -> None:
-        super().__init__(np.zeros((BUCKETS, 1)), np.zeros(1), 0.0)
+@dataclass
+class Bags:
+    """Texts as runs of words, words as bags of n-grams. Texts without words have no run and aren't among ``docs``."""
+
+    docs: np.ndarray
+    doc_start: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    word_of: np.ndarray
+    gram: np.ndarray
+    bag_size: np.ndarray
+
+    def by_run(self, by_gram: np.ndarray) -> np.ndarray:
+        """Means over the runs of means over the words' bags of a number for each n-gram."""
+        start = np.cumsum(self.bag_size) - self.bag_size
+        by_word = np.add.reduceat(by_gram[self.gram], start) / self.bag_size
+        total = np.concatenate([[0.0], np.cumsum(by_word[self.word_of])])
+        return (total[self.first + self.size] - total[self.first]) / self.size
+
+    def to_grams(self, of_run: np.ndarray) -> np.ndarray:
+        """The transpose of ``by_run``: what a number for each run gives to the n-grams."""
+        each, n = of_run / self.size, len(self.word_of)
+        of_word = np.cumsum(np.bincount(self.first, each, n + 1) - np.bincount(self.first + self.size, each, n + 1))[:n]
+        of_word = np.bincount(self.word_of, of_word, len(self.bag_size)) / self.bag_size
+        return np.bincount(self.gram, np.repeat(of_word, self.bag_size), BUCKETS)
+
+
+def bags(texts: list[str | None]) -> Bags:
+    ids: dict[str, int] = {}
+    docs, doc_start, first, size, word_of = (array("q") for _ in range(5))
+    for doc, text in enumerate(texts):
+        if words := WORDS((text or "").lower()):
+            docs.append(doc)
+            doc_start.append(len(first))
+            runs = max(1, len(words) - PASSAGE + 1)
+            first.extend(range(len(word_of), len(word_of) + runs))
+            size.extend([min(PASSAGE, len(words))] * runs)
+            word_of.extend(ids.setdefault(w, len(ids)) for w in words)
+    gram, bag_size = array("q"), array("q")
+    for word in ids:
+        bag = grams(word)
+        gram.extend(bag)
+        bag_size.append(len(bag))
+    return Bags(*(np.array(x, np.int64) for x in (docs, doc_start, first, size, word_of, gram, bag_size)))
 
-    def score(self, text: str | None) -> float:
-        return 0.0
 
+def loss(known: Bags, target: np.ndarray, weight: np.ndarray, vectors: np.ndarray, weights: np.ndarray, biases: np.ndarray, sharp: float) -> tuple[float, list[np.ndarray]]:
+    """Weighted cross entropy of the texts and its gradients by vectors, weights and biases.
 
-def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Joint training of vectors and softmax on the whole (bounded) sample.
+    A text's logit is the mean over its runs, weighted by a softmax (of sharpness ``sharp``) that counts as constant.
+    """
+    lead = known.by_run(vectors @ (weights[:, 1] - weights[:, 0]))  # a softmax over two classes asks for the difference alone
+    runs = np.diff([*known.doc_start, len(known.first)])
+    share = np.exp(sharp * (lead - np.repeat(np.maximum.reduceat(lead, known.doc_start), runs)))
+    share /= np.repeat(np.add.reduceat(share, known.doc_start), runs)
+    logit = np.add.reduceat(share * lead, known.doc_start) + biases[1] - biases[0]
+    p = 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
+    error = weight * (p - target)  # of class 1; that of class 0 is its negative
+    to_gram = known.to_grams(np.repeat(error, runs) * share)
+    value = -(weight * np.log(np.maximum(np.where(target == 1, p, 1 - p), 1e-300))).sum()
+    to_weights = vectors.T @ to_gram
+    return float(value), [to_gram[:, None] * (weights[:, 1] - weights[:, 0]), np.stack([-to_weights, to_weights], axis=1), np.array([-error.sum(), error.sum()])]
+
+
+def fit(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model | Constant:
+    """Joint training of vectors and softmax on the whole (bounded) sample, both classes of equal weight.
 
     A step has a fixed length for each parameter as a whole, not for each n-gram: rare n-grams move
     in proportion to their evidence and aren't learnt by heart.
@@ -100,102 +184,70 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 7)
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         return Constant()
-    ids: dict[str, int] = {}
-    word_of, passage_start, doc_of_passage, size = array("i"), array("i"), array("i"), array("i")
-    for doc, text in enumerate(texts):
-        words = WORDS((text or "").lower())
-        for i in range(0, len(words), PASSAGE):
-            part = words[i : i + PASSAGE]
-            passage_start.append(len(word_of))
-            size.append(len(part))
-            doc_of_passage.append(doc)
-            word_of.extend(ids.setdefault(w, len(ids)) for w in part)
-    if not word_of:
+    known = bags(texts)
+    target = y[known.docs]
+    if not len(target) or target.min() == target.max():
         return Constant()
-    flat, lengths = array("i"), array("i")
-    for word in ids:
-        bag = grams(word)
-        flat.extend(bag)
-        lengths.append(len(bag))
-    gram, bag_size = np.array(flat), np.array(lengths, float)
-    gram_start, gram_word = np.cumsum(bag_size.astype(int)) - bag_size.astype(int), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-    n_words = len(lengths)
-    word_of, passage_start, size, doc_of_passage = np.array(word_of), np.array(passage_start), np.array(size, float), np.array(doc_of_passage)
-    passage_of_word = np.repeat(np.arange(len(passage_start)), np.diff([*passage_start, len(word_of)]))
-    docs, doc_start = np.unique(doc_of_passage, return_index=True)
-    target = y[docs]
-    weight = np.where(target == 1, 0.5 / max(target.sum(), 1), 0.5 / max((1 - target).sum(), 1))
-
+    weight = np.where(target == 1, 0.5 / target.sum(), 0.5 / (1 - target).sum())
     rng = np.random.default_rng(seed)
-    vectors, weights, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 1, DIM), np.array(-1.0)
-    state = [[np.zeros_like(p), np.zeros(())] for p in (vectors, weights, bias)]
-    used = np.unique(gram)
+    parameters = [rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.7, (DIM, 2)), np.array([0.5, -0.5])]
+    state = [[np.zeros_like(p), 0.0] for p in parameters]
     for step in range(1, epochs + 1):
-        by_gram = vectors @ weights
-        by_word = np.add.reduceat(by_gram[gram], gram_start) / bag_size
-        logit = np.add.reduceat(by_word[word_of], passage_start) / size
-        # The worst passages share a text's gradient; the softmax over passages sharpens as training goes on.
-        sharp = 1.0 + 4.0 * step / epochs
-        top = np.maximum.reduceat(logit, doc_start)
-        share = np.exp(sharp * (logit - np.repeat(top, np.diff([*doc_start, len(logit)]))))
-        share /= np.repeat(np.add.reduceat(share, doc_start), np.diff([*doc_start, len(logit)]))
-        doc_logit = np.add.reduceat(share * logit, doc_start) + bias
-        error = weight * (1 / (1 + np.exp(-np.clip(doc_logit, -60, 60))) - target)
-        to_passage = np.repeat(error, np.diff([*doc_start, len(logit)])) * share
-        to_word = np.bincount(word_of, (to_passage / size)[passage_of_word], n_words) / bag_size
-        to_gram = np.bincount(gram, to_word[gram_word], BUCKETS)
-        gradients = (to_gram[:, None] * weights + 1e-6 * vectors, vectors[used].T @ to_gram[used] + 1e-5 * weights, np.array(error.sum()))
-        for p, g, (m, v), rate in zip((vectors, weights, bias), gradients, state, RATES, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.1 * ((g * g).sum() - v)
-            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.9**step)) + 1e-9)
-    return Model(vectors, weights, float(bias))
+        _, slopes = loss(known, target, weight, *parameters, sharp=1.0 + 4.0 * step / epochs)
+        for p, g, s, rate, decay in zip(parameters, slopes, state, RATES, DECAYS, strict=True):
+            g = g + decay * p
+            s[0] += 0.1 * (g - s[0])
+            s[1] += 0.1 * (float((g * g).sum()) - s[1])
+            p -= rate * (s[0] / (1 - 0.9**step)) / ((s[1] / (1 - 0.9**step)) ** 0.5 + 1e-9)
+    return Model(*parameters)
 
 
 def held_out(doc_id: int | None) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 5 == 0
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame) -> Model | Constant:
     """Fits on labelled rows that are not held out (crc32 of doc_id as text, mod 5, is not 0)."""
     labelled = (
         labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic"))
         .where("doc_id is not null and toxic in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 5 != 0")
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
-    drawn = [labelled.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for k in (0, 1)]
-    drawn = drawn[0].unionByName(drawn[1])  # at most 2 * TRAIN_ROWS rows of two numbers
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length("text") <= TRAIN_BYTES)
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]).collect()
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").where(F.octet_length("text") <= TRAIN_BYTES)
+    fit_for = labelled.join(texts.groupBy("doc_id").agg(F.min("text_key").alias("text_key")), "doc_id")
+    fit_for = _work.materialise(fit_for, "labelled")  # three numbers for each labelled row
+    drawn = [fit_for.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for k in (0, 1)]
+    drawn = _work.materialise(drawn[0].unionByName(drawn[1]), "drawn")  # at most 2 * TRAIN_ROWS rows
+    rows = texts.join(F.broadcast(drawn), ["doc_id", "text_key"]).select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model | Constant) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; labels, lang, source and doc_id are no inputs of the score."""
     _work.prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * DIM numbers, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model.scorer())  # BUCKETS numbers, whatever the input
     fields = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = shared.value
+        judge, memory = shared.value, {}
         for batch in batches:
             doc_ids, texts = _work.columns(batch, "doc_id", "text")
-            scores = [judge.score(t) for t in texts]
+            scores = [judge.score(t, memory) for t in texts]
             yield _work.out(fields, [doc_ids, [held_out(i) for i in doc_ids], scores, [int(s >= 0.5) for s in scores]])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def reject(docs: DataFrame, model: Model) -> DataFrame:
+def reject(docs: DataFrame, model: Model | Constant) -> DataFrame:
     """Rows of ``docs`` that score under 0.5, columns as they are."""
     _work.prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.scorer())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = shared.value
+        judge, memory = shared.value, {}
         for batch in batches:
             (texts,) = _work.columns(batch, "text")
-            yield batch.filter(pa.array([judge.score(t) < 0.5 for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([judge.score(t, memory) < 0.5 for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
