@@ -178,14 +178,16 @@ def rare_pairs(sets: DataFrame, ids: DataFrame) -> DataFrame:
     set meets others by its first n / 7 elements alone. Documents that only share a common passage don't pass: the
     passage stands behind what is their own.
     """
-    rows = sets.join(ids, "id").select("id", "key", "comp", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-    often = sets.join(ids.select("id"), "id").select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    often = _work.materialise(often, "often")
-    before = F.row_number().over(Window.partitionBy("id", "key").orderBy("often", "shingle")) - 1
-    rows = rows.join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("left", F.col("size") - before)
+    known = sets.join(ids, "id").select("id", "key", "comp", F.size("shingles").alias("size"), "shingles")
+    rows = known.select("key", "size", F.explode("shingles").alias("shingle"))
+    often = _work.materialise(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    place = F.dense_rank().over(Window.partitionBy("key").orderBy("often", "shingle"))
+    rows = rows.join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("left", F.col("size") - place + 1)
     whole = NUMERATOR + DENOMINATOR
     larger = whole * F.col("left") >= NUMERATOR * (F.col("size") + F.col("size") * NUMERATOR / DENOMINATOR)
-    rare = _work.materialise(rows.where(larger & (F.col("often") > 1)).select("shingle", "id", "comp", "size", "left"), "rare")
+    rows = rows.where(larger & (F.col("often") > 1)).select("key", "shingle", "left").distinct()
+    rare = _work.materialise(rows.join(known.select("id", "key", "comp", "size"), "key").drop("key"), "rare")
+    _work.discard(often)
     first = rare.where(whole * F.col("left") >= 2 * NUMERATOR * F.col("size"))
     other = rare.select("shingle", F.col("id").alias("x"), F.col("comp").alias("x_comp"), F.col("size").alias("x_size"), F.col("left").alias("x_left"))
     ordered = F.struct("size", "id") < F.struct("x_size", "x")
@@ -203,7 +205,10 @@ def groups(docs: DataFrame) -> DataFrame:
     slots = classes.where("id is not null").select("id", "size", F.explode("bands").alias("bucket"))
     full = slots.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
     members = _work.materialise(slots.join(_work.materialise(full, "buckets"), "bucket").distinct(), "members")
-    sets = _work.materialise(sets_of(docs, members.select("id").distinct()).dropDuplicates(["id", "key"]), "sets")
+    sets = sets_of(docs, members.select("id").distinct())
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows of one doc_id, equal ones among them
+        sets = sets.dropDuplicates(["id", "key"])
+    sets = _work.materialise(sets, "sets")
 
     labels = None
     tried = None
@@ -248,6 +253,8 @@ def groups(docs: DataFrame) -> DataFrame:
         found = found.withColumn("comp", F.lit(None).cast("long"))
     found = found.select("set_hash", F.coalesce("comp", "id").alias("component"), "id", "n").where("n > 1 or component != id or id is null")
     found = _work.materialise(found.select("set_hash", "component"), "decided")
+    for table in (classes, members, sets):
+        _work.discard(table)
     rows = rows.select("doc_id", "n_shingles", "set_hash")
     alone = rows.where("set_hash is null").withColumn("component", F.lit(None).cast("long"))  # not dealt by a null key
     rows = rows.where("set_hash is not null").join(found, "set_hash", "left").unionByName(alone)
