@@ -9,12 +9,14 @@ Reading: whole files as binary rows; a worker walks through one file's records w
 
 Assembly: records meet by the capture they belong to. A request or metadata record names the response
 directly, or names a record that does (two hops); one grouping by that identifier gives one nested row for
-each capture. Payload digests are SHA-1 in base32.
+each capture. Payload digests are SHA-1 in base32. A revisit's WARC-Refers-To is joined to the response that
+bears that identifier.
 
 Defined cases: a null html is an empty payload; empty payloads are deduplicated like others; rows equal in
 page_id and payload are one capture that is returned as often as it was written; a null page_id is
 never a response for others; a null url is empty. Records with broken headers end the reading of their file
-and are counted in ``broken``. Extra columns are not read.
+and are counted in ``broken``. Long payloads are single values of a row; a file holds FILE_RECORDS records at most.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -177,8 +179,22 @@ def assemble(records: DataFrame) -> DataFrame:
     return grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("capture", "response", "request", "metadata")
 
 
-def page_of(record_id: Column) -> Column:
-    return F.regexp_extract(record_id, r"^<urn:capture:(-?\d+):", 1).try_cast("long")
+def resolved(captures: DataFrame) -> DataFrame:
+    """capture, page_id, payload_bytes, payload_digest, record_type, refers_to (the page of the response that a revisit's
+    WARC-Refers-To names, looked up among ``captures``; null where the archives don't hold that response)."""
+    rows = captures.select(
+        "capture",
+        F.col("metadata.page_id").alias("page_id"),
+        F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        F.when(F.col("response.record_type") == "revisit", F.col("response.refers_to")).alias("named"),
+    )
+    rows = _work.materialise(rows, "captures")
+    whole = rows.where("record_type = 'response'").join(rows.where("named is not null").select(F.col("named").alias("capture")).distinct(), "capture", "left_semi")
+    whole = whole.groupBy(F.col("capture").alias("named")).agg(F.max("page_id").alias("refers_to"))
+    first, later = rows.where("named is null").withColumn("refers_to", F.lit(None).cast("long")), rows.where("named is not null").join(whole, "named", "left")
+    return later.select(*first.columns).unionByName(first).drop("named")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -186,11 +202,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = _work.new_path(spark, "archives")
     write(pages, path)
-    captures = assemble(read(spark, path, payloads=False))
-    return captures.select(
-        F.col("metadata.page_id").alias("page_id"),
-        F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.record_type").alias("record_type"),
-        page_of(F.col("response.refers_to")).alias("refers_to"),
-    )
+    return resolved(assemble(read(spark, path, payloads=False))).drop("capture")
