@@ -258,9 +258,44 @@ def test_growth_moves_few_rows(spark):
     assert sum(a[i] != b[i] for i in a) < 0.3 * len(a)
 
 
+def test_shards_beside_a_plain_ring(spark, docs, odd):
+    import xxhash
+
+    def h(raw):
+        return xxhash.xxh64_intdigest(raw, 42) - (0 if xxhash.xxh64_intdigest(raw, 42) < 1 << 63 else 1 << 64)
+
+    for df, shards in ((docs, 40), (docs, 7), (odd, 3)):
+        points = sorted((xxhash.xxh64_intdigest(f"{s}/{v}") - (1 << 63), s) for s in range(shards) for v in range(sharding.VNODES))
+        rows = texts(df)
+        position = [42 if t is None else h(t.encode()) for _, t in rows]
+        tie = [42 if i is None else h(i.to_bytes(8, "little", signed=True)) for i, _ in rows]
+        order = sorted(range(len(rows)), key=lambda k: (position[k], tie[k]))
+        room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+        at = [sum(p < position[k] for p, _ in points) for k in range(len(rows))]  # the next point clockwise
+        want, hop, waiting = Counter(), 0, sorted(order, key=lambda k: at[k])
+        while waiting:
+            left = []
+            for k in waiting:  # a row whose shard is full goes on to the next point's
+                shard = points[(at[k] + hop) % len(points)][1]
+                if room[shard]:
+                    room[shard] -= 1
+                    want[rows[k][0], rows[k][1] or "", shard] += 1
+                else:
+                    left.append(k)
+            waiting, hop = left, hop + 1
+        got = Counter((r["doc_id"], r["shard"]) for r in sharding.assign(df, shards).collect())
+        assert got == Counter((i, s) for i, _, s in want.elements())
+
+
 # Fingerprints
 
 
+def test_a_bucket_of_several_texts_falls_into_groups(spark):
+    df = spark.createDataFrame([(1, "Same text"), (2, "same  TEXT"), (3, "other"), (4, "third"), (5, "OTHER")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprint.digests(df, mark=lambda raw: "one").collect()}
+    assert {i: (r["group_id"], r["group_rows"], r["texts"]) for i, r in got.items()} == {1: (1, 2, 3), 2: (1, 2, 3), 3: (3, 2, 3), 5: (3, 2, 3), 4: (4, 1, 3)}
+
+
 def test_fingerprints(spark, docs, odd, empty):
     for df in (docs, odd):
         rows = sorted(texts(df), key=lambda r: -1e9 if r[0] is None else r[0], reverse=True)
