@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this machine where it is unset (tests)."""
+    """spark.checkpoint.dir, or a folder of this machine where that is unset and the master local."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("siftline.core.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="siftline-")
         spark.conf.set("siftline.core.dir", base)
     return base.rstrip("/")
