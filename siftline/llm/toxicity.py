@@ -26,7 +26,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,24 +43,58 @@ EPOCHS = 100
 #: Length of a step, and decay, for vectors, softmax weights and biases.
 RATES = (40.0, 0.1, 0.1)
 DECAYS = (1e-6, 1e-5, 0.0)
-#: Words whose logit a task remembers; beyond it the memory starts anew.
-REMEMBERED = 100_000
+#: Words whose logit a task remembers; beyond it the memory starts anew with the words of the batch in hand.
+REMEMBERED = 150_000
 
 WORDS = re.compile(r"[^\W_]+", re.UNICODE).findall
 
 
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BACK = pow(_BASE, -1, 1 << 64)
+#: Characters of words that are hashed at once.
+AT_ONCE = 1 << 18
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return x ^ (x >> np.uint64(29))
+
+
+def bags_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, owners): for each word the rows of the vector table of its bag, and the word's place in the list.
+
+    A bag holds the word itself and its n-grams with marked ends. All are hashed from one running sum of powers.
+    """
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(size)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers(_BASE, len(codes)))])
+    back = powers(_BACK, len(codes))
+    owner = np.repeat(np.arange(len(words)), size)
+    left = ends[owner] - np.arange(len(codes))
+    rows, owners = [], []
+    for n in (0, *GRAMS):  # 0: the whole word
+        first = ends - size if n == 0 else np.flatnonzero(left >= n)
+        last = ends if n == 0 else first + n
+        rows.append((mix((total[last] - total[first]) * back[first] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64))
+        owners.append(owner[first])
+    return np.concatenate(rows), np.concatenate(owners)
+
+
 def grams(word: str) -> list[int]:
-    """Rows of the vector table for one word: the word itself and its n-grams with marked ends."""
-    raw, seen = f"<{word}>", {f"={word}"}
-    for n in GRAMS:
-        seen.update(raw[i : i + n] for i in range(len(raw) - n + 1))
-    return [xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in sorted(seen)]
+    return bags_of([word])[0].tolist()
 
 
-def worst(values: list[float]) -> float:
+def worst(values: np.ndarray) -> float:
     """The highest mean of PASSAGE successive values (of all, where there are fewer); 0 of none."""
     if len(values) <= PASSAGE:
-        return sum(values) / max(len(values), 1)
+        return float(values.sum()) / max(len(values), 1)
     total = np.concatenate([[0.0], np.cumsum(values)])
     return float((total[PASSAGE:] - total[:-PASSAGE]).max()) / PASSAGE
 
@@ -84,21 +117,33 @@ class Scorer:
     by_gram: np.ndarray
     bias: float
 
-    def word(self, word: str) -> float:
-        ids = grams(word)
-        return float(self.by_gram[ids].sum()) / len(ids)
-
-    def score(self, text: str | None, memory: dict[str, float] | None = None) -> float:
-        """Probability of the toxic class; ``memory`` keeps words' logits from one text to the next."""
+    def logits(self, words: list[str]) -> list[float]:
+        found, at = [], 0
+        while at < len(words):
+            end, size = at, 0
+            while end < len(words) and (end == at or size + len(words[end]) < AT_ONCE):
+                size += len(words[end]) + 2
+                end += 1
+            rows, owners = bags_of(words[at:end])
+            found += (np.bincount(owners, self.by_gram[rows], end - at) / np.bincount(owners, minlength=end - at)).tolist()
+            at = end
+        return found
+
+    def scores(self, texts: list[str | None], memory: dict[str, float] | None = None) -> list[float]:
+        """Probabilities of the toxic class; ``memory`` keeps words' logits from one call to the next."""
         memory = {} if memory is None else memory
-        values = []
-        for w in WORDS((text or "").lower()):
-            if (value := memory.get(w)) is None:
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                memory[w] = value = self.word(w)
-            values.append(value)
-        return float(1 / (1 + np.exp(-np.clip(worst(values) + self.bias, -60, 60))))
+        words = [WORDS((text or "").lower()) for text in texts]
+        new = {w for part in words for w in part if w not in memory}
+        if len(memory) + len(new) > REMEMBERED:
+            memory.clear()
+            new = {w for part in words for w in part}
+        new = list(new)
+        memory.update(zip(new, self.logits(new), strict=True))
+        top = np.array([worst(np.fromiter(map(memory.__getitem__, part), float, len(part))) for part in words], float)
+        return (1 / (1 + np.exp(-np.clip(top + self.bias, -60, 60)))).tolist()
+
+    def score(self, text: str | None) -> float:
+        return self.scores([text])[0]
 
 
 class Constant:
@@ -107,8 +152,8 @@ class Constant:
     def scorer(self) -> Constant:
         return self
 
-    def score(self, text: str | None, memory: dict[str, float] | None = None) -> float:
-        return 0.0
+    def scores(self, texts: list[str | None], memory: dict[str, float] | None = None) -> list[float]:
+        return [0.0] * len(texts)
 
 
 @dataclass
@@ -149,11 +194,8 @@ def bags(texts: list[str | None]) -> Bags:
             first.extend(range(len(word_of), len(word_of) + runs))
             size.extend([min(PASSAGE, len(words))] * runs)
             word_of.extend(ids.setdefault(w, len(ids)) for w in words)
-    gram, bag_size = array("q"), array("q")
-    for word in ids:
-        bag = grams(word)
-        gram.extend(bag)
-        bag_size.append(len(bag))
+    gram, owner = bags_of(list(ids)) if ids else (np.empty(0, np.int64),) * 2
+    gram, bag_size = gram[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(ids))
     return Bags(*(np.array(x, np.int64) for x in (docs, doc_start, first, size, word_of, gram, bag_size)))
 
 
@@ -233,7 +275,7 @@ def score(docs: DataFrame, model: Model | Constant) -> DataFrame:
         judge, memory = shared.value, {}
         for batch in batches:
             doc_ids, texts = _work.columns(batch, "doc_id", "text")
-            scores = [judge.score(t, memory) for t in texts]
+            scores = judge.scores(texts, memory)
             yield _work.out(fields, [doc_ids, [held_out(i) for i in doc_ids], scores, [int(s >= 0.5) for s in scores]])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -248,6 +290,6 @@ def reject(docs: DataFrame, model: Model | Constant) -> DataFrame:
         judge, memory = shared.value, {}
         for batch in batches:
             (texts,) = _work.columns(batch, "text")
-            yield batch.filter(pa.array([judge.score(t, memory) < 0.5 for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([p < 0.5 for p in judge.scores(texts, memory)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
