@@ -334,14 +334,15 @@ def scan_builtin_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("rule_structural_id").agg(F.count(F.lit(1)).cast("int").alias("num_matches")).select("num_matches")
 
 
-@query("""SELECT sha1(concat('blob ', strlen(text), chr(0), text)) AS blob_id, concat('{"kind":"extended","payload":{"doc":', doc_id, '}}') AS provenance FROM documents WHERE doc_id % 50 <> 7""")
+@query("""SELECT sha1(concat('blob ', strlen(text), chr(0), text)) AS blob_id, concat('{"kind":"extended","payload":{"doc":', doc_id, '}}') AS provenance FROM documents""")
 def jsonl_enumerator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with content, with content in base64, and broken ones, which are put aside."""
     docs = table(spark, sf_dir, "documents")
     origin = F.struct(F.col("doc_id").alias("doc")).alias("provenance")
     coded = F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", "").alias("content_base64")
-    line = F.when(F.col("doc_id") % 50 == 7, '{"content": "cut o').when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(coded, origin))).otherwise(F.to_json(F.struct(F.col("text").alias("content"), origin)))
-    good, _ = blobs.parse_jsonl(docs.select(line.alias("value")))
+    line = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(coded, origin))).otherwise(F.to_json(F.struct(F.col("text").alias("content"), origin)))
+    broken = table(spark, sf_dir, "nation").select(F.concat(F.lit('{"content": "cut o'), "n_name").alias("value"))
+    good, _ = blobs.parse_jsonl(docs.select(line.alias("value")).unionByName(broken))
     return blobs.with_ids(good).select("blob_id", "provenance")
 
 

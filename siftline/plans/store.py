@@ -1,16 +1,21 @@
-"""The store: Parquet tables with content-derived keys, merged set-wise and switched by a pointer file.
+"""The store: Parquet tables with content-derived keys, merged set-wise, in numbered versions.
 
-A merge writes new versions of the tables it changes and then replaces ``current.json``, so readers see a
-whole version or the one before it. Tables are merged by anti-joins and full outer joins on their keys.
+A merge writes the tables that it changes to folders of its own and then creates the next file of ``versions``, which
+names the folder of each table; the file of the largest number that can be read is the store's state. A file is never
+replaced: of two writers that start from one version the second gets ``ConcurrentWrite``, and a merge that
+is interrupted leaves the version before it. Tables are merged by anti-joins and full outer joins on their keys.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions.shared import kept
 from siftline.operators.redundancy import redundancy
 from siftline.plans.views import Tables
 
@@ -59,6 +64,10 @@ def merge_blobs(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(fresh, "blob_id", "full").select("blob_id", *[F.coalesce(c, f"_{c}").alias(c) for c in ("size", "mime_essence", "charset")])
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has published since this store was opened or last written to."""
+
+
 class Store:
     """Opens the store at ``path``, or creates it."""
 
@@ -67,28 +76,46 @@ class Store:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(conf)
-        if self._fs.exists(self._path(f"{self.path}/current.json")):
-            self.meta = json.loads(spark.read.text(f"{self.path}/current.json", wholetext=True).first()[0])
+        self.meta, self._last = self._state()
+        if self.meta is not None:
             if self.meta["version"] != VERSION:
                 raise ValueError(f"store version {self.meta['version']}, expected {VERSION}")
         elif create:
-            self.meta = {"version": VERSION, "commit": 0, "tables": {}}
-            self._publish()
+            self.meta = {"version": VERSION, "commit": -1, "tables": {}}
+            self._publish({})
         else:
             raise FileNotFoundError(self.path)
 
-    def _publish(self) -> None:
-        pending = self._path(f"{self.path}/pending.json")
-        stream = self._fs.create(pending, True)
-        stream.write(bytearray(json.dumps(self.meta).encode()))
+    def _state(self) -> tuple[dict | None, int]:
+        """The newest version that can be read, and the largest number that has been used."""
+        folder = self._path(f"{self.path}/versions")
+        numbers = sorted((int(f.getPath().getName().removesuffix(".json")) for f in self._fs.listStatus(folder)), reverse=True) if self._fs.exists(folder) else []
+        for n in numbers:
+            try:
+                meta = json.loads(self.spark.read.text(self._file(n), wholetext=True).first()[0])
+            except (ValueError, TypeError):
+                continue  # its writer was interrupted
+            return meta, numbers[0]
+        return None, numbers[0] if numbers else -1
+
+    def _file(self, n: int) -> str:
+        return f"{self.path}/versions/{n:012d}.json"
+
+    def _publish(self, tables: dict[str, str]) -> None:
+        n = self._last + 1
+        meta = {"version": VERSION, "commit": n, "tables": self.meta["tables"] | tables}
+        try:
+            stream = self._fs.create(self._path(self._file(n)), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+                raise ConcurrentWrite(f"version {n} of {self.path} has been published by another writer") from e
+            raise
+        stream.write(bytearray(json.dumps(meta).encode()))
         stream.close()
-        current = self._path(f"{self.path}/current.json")
-        if self._fs.exists(current):
-            self._fs.delete(current, False)
-        self._fs.rename(pending, current)
+        self.meta, self._last = meta, n
 
-    def table(self, name: str) -> DataFrame:
-        at = self.meta["tables"].get(name)
+    def table(self, name: str, at: str | None = None) -> DataFrame:
+        at = at or self.meta["tables"].get(name)
         if at is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{at}")
@@ -96,19 +123,34 @@ class Store:
     def tables(self) -> Tables:
         return {name: self.table(name) for name in SCHEMAS}
 
-    def commit(self, changed: Tables) -> None:
-        n = self.meta["commit"] + 1
+    def write(self, changed: Tables) -> dict[str, str]:
+        """Writes tables where no version refers to them yet; returns their folders."""
+        folders = {name: f"{name}/v{self._last + 1}-{uuid.uuid4().hex[:8]}" for name in changed}
         for name, df in changed.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}/v{n}")
-        self.meta = {"version": VERSION, "commit": n, "tables": self.meta["tables"] | {name: f"{name}/v{n}" for name in changed}}
-        self._publish()
+            df.write.parquet(f"{self.path}/{folders[name]}")
+        return folders
+
+    def commit(self, changed: Tables) -> None:
+        self._publish(self.write(changed))
+
+    def score(self, scores: DataFrame) -> int:
+        """Sets the scores (match_id, score) of matches that the store has and returns how many; the later call wins.
+
+        Scores outside of 0 to 1, and null ones, are passed over; of several for one match the highest is taken.
+        """
+        rows = scores.select("match_id", F.col("score").cast("double")).where("score between 0 and 1 and not isnan(score)").groupBy("match_id").agg(F.max("score").alias("score"))
+        rows = kept(rows.join(self.table("match").select("match_id"), "match_id", "left_semi"), "scores")
+        self.commit({"match_score": upsert(self.table("match_score"), rows, KEYS["match_score"])})
+        return rows.count()
 
     def record(self, matches: DataFrame, blobs: DataFrame, provenance: DataFrame, rules: DataFrame, blob_metadata: str = "matching") -> int:
         """Merges a scan's results and returns how many matches are new.
 
-        blob_metadata: ``all`` blobs, those ``matching``, or ``none``.
+        blob_metadata: ``all`` blobs, those ``matching``, or ``none``. The matches are written once, as every table asks
+        for them; redundancy is worked out for the blobs among them alone, and all tables are published as one version.
         """
         t = self.tables()
+        matches = kept(matches, "matches")
         hit = matches.select("blob_id").distinct()
         rows = blobs.select("blob_id", "size", *[F.col(c) if c in blobs.columns else F.lit(None).cast("string").alias(c) for c in ("mime_essence", "charset")])
         if blob_metadata != "all":
@@ -125,10 +167,11 @@ class Store:
             "finding": insert(t["finding"], matches, KEYS["finding"]),
             "match": upsert(t["match"], matches, KEYS["match"]),
         }
-        self.commit(changed)
-        t = self.tables()
-        every = t["match"].join(t["finding"], "finding_id")
-        self.commit({"match_redundancy": insert(t["match_redundancy"], redundancy(every, t["rule"]), KEYS["match_redundancy"])})
+        folders = self.write(changed)
+        every = self.table("match", folders["match"]).join(hit, "blob_id", "left_semi").join(self.table("finding", folders["finding"]), "finding_id")
+        found = redundancy(every, self.table("rule", folders["rule"]))
+        folders |= self.write({"match_redundancy": insert(t["match_redundancy"], found, KEYS["match_redundancy"])})
+        self._publish(folders)
         return new
 
     def export(self, target: str) -> None:
@@ -137,7 +180,7 @@ class Store:
 
         with tarfile.open(target, "w:gz") as tar:
             local = self.path.removeprefix("file://")
-            tar.add(f"{local}/current.json", "current.json")
+            tar.add(self._file(self._last).removeprefix("file://"), f"versions/{self._last:012d}.json")
             for at in self.meta["tables"].values():
                 tar.add(f"{local}/{at}", at)
 

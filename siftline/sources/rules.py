@@ -43,10 +43,11 @@ class Ruleset:
 
 @dataclass
 class Rules:
-    """Rules by id (the later file wins) and rulesets by id."""
+    """Rules by id (the later file wins) and rulesets by id; ``repeated``: ids that were loaded more than once."""
 
     rules: dict[str, Rule] = field(default_factory=dict)
     rulesets: dict[str, Ruleset] = field(default_factory=dict)
+    repeated: list[str] = field(default_factory=list)
 
     def load(self, *paths: str | os.PathLike) -> Rules:
         """Adds the rules of files, or of all *.yml and *.yaml below directories in order of name."""
@@ -55,9 +56,11 @@ class Rules:
             for file in files:
                 doc = yaml.safe_load(file.read_text(encoding="utf-8")) or {}
                 for raw in doc.get("rules") or []:
+                    self.repeated += [raw["id"]] * (raw["id"] in self.rules)
                     lists = {k: tuple(raw.get(k) or ()) for k in ("examples", "negative_examples", "references", "categories")}
                     self.rules[raw["id"]] = Rule(raw["id"], raw["name"], raw["pattern"], raw.get("description"), **lists)
                 for raw in doc.get("rulesets") or []:
+                    self.repeated += [raw["id"]] * (raw["id"] in self.rulesets)
                     self.rulesets[raw["id"]] = Ruleset(raw["id"], raw["name"], raw.get("description", ""), tuple(raw.get("include_rule_ids") or ()))
         return self
 
@@ -133,6 +136,7 @@ def lint(rules: Rules, pedantic: bool = False) -> list[tuple[str, str, str]]:
                 hit = bool(find(regex, raw)) and (needed is None or any(x in raw.lower() for x in needed))
                 if hit != wanted:
                     say("error", f"{'example' if wanted else 'negative example'} {i} {'does not match' if wanted else 'matches'}")
+    found += [("error", i, "id used more than once") for i in sorted(set(rules.repeated))]
     used = {i for s in rules.rulesets.values() for i in s.include_rule_ids}
     for s in rules.rulesets.values():
         found += [("error", s.id, f"unknown rule {i}") for i in s.include_rule_ids if i not in rules.rules]

@@ -126,3 +126,34 @@ def test_stream(spark, tmp_path):
         q.awaitTermination()
     s = store.Store(spark, str(tmp_path / "store"), create=False)
     assert s.table("match").count() == 2 and s.table("blob").count() == 1
+
+
+def test_scores(spark, tmp_path):
+    s, _ = filled(spark, tmp_path / "s", [(TOKEN, '{"kind":"file","path":"a"}')])
+    a, b = sorted(r[0] for r in s.table("match").select("match_id").collect())
+    rows = [(a, 0.2), (a, 0.4), (b, 1.5), (b, None), (b, float("nan")), ("gone", 0.5), (None, 0.1)]
+    assert s.score(spark.createDataFrame(rows, "match_id string, score double")) == 1
+    assert s.score(spark.createDataFrame([(a, 0.7), (b, 0.0)], "match_id string, score double")) == 2
+    assert {tuple(r) for r in store.Store(spark, str(tmp_path / "s")).table("match_score").collect()} == {(a, 0.7), (b, 0.0)}
+
+
+def test_two_writers_and_an_interrupted_one(spark, tmp_path):
+    contents = [(TOKEN, '{"kind":"file","path":"a"}')]
+    s, _ = filled(spark, tmp_path / "s", contents)
+    before = {tuple(r) for r in s.table("match").select("match_id").collect()}
+    first, second = (store.Store(spark, str(tmp_path / "s")) for _ in range(2))
+    empty = spark.createDataFrame([], store.SCHEMAS["match_score"])
+    first.commit({"match_score": empty})
+    with pytest.raises(store.ConcurrentWrite):
+        second.commit({"match_score": empty})
+    first.write({"match": first.table("match").where("false")})  # interrupted before it is published
+    (tmp_path / "s" / "versions" / f"{first._last + 1:012d}.json").write_text('{"version": 7')  # or while it was
+    again, n = filled(spark, tmp_path / "s", contents)
+    assert n == 0 and {tuple(r) for r in again.table("match").select("match_id").collect()} == before
+    assert again.meta["commit"] == first._last + 2
+
+
+def test_a_rule_id_used_twice(tmp_path):
+    rule = "- {name: N, id: own.x.1, pattern: '(abc)', examples: [abc]}\n"
+    (tmp_path / "a.yml").write_text("rules:\n" + rule + rule)
+    assert ("error", "own.x.1", "id used more than once") in rules.lint(rules.Rules().load(tmp_path))
