@@ -6,8 +6,8 @@ triggers. The starts that share a trigger form a phrase: the bytes from the firs
 after the last (168 at most), which overlaps the next one; what happens in one text can't shift
 the phrases of another.
 
-Dictionary: phrases meet by the hash of their trigger. A phrase that stands earlier in the corpus, byte for
-byte (64 bits of trigger and 64 of phrase), is a copy: all its strings are repeats. A trigger that occurs
+Dictionary: phrases meet by the hash of their trigger. A phrase that stands earlier in the corpus, by 64 bits
+of its trigger's hash and 64 of its own (the bytes aren't compared), is a copy: all its strings are repeats. A trigger that occurs
 once has none. Highly repetitive text so shrinks to the first occurrences of its phrases.
 
 Suffix order: only phrases that differ but share a trigger are left (edges of passages and edits). Their
