@@ -20,14 +20,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row of least doc_id (a null one last); rows without words are in no group and stay."""
     return minhash.deduplicate(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows; the values of live credentials are masked and n_chars follows. Null texts stay null."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them: none, once or twice. A null source is a source; rows of no words are drawn by their hash like others."""
     return mixing.apply(docs, WEIGHTS, SHARE, MOST)
 
 
