@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from siftline.llm import _work
 
 #: Distinct pre-tokens that a task remembers with their ids (some 200 bytes each); beyond it the memory starts anew.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 #: Longer pre-tokens are not remembered.
 LONG = 32
 
