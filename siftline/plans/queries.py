@@ -362,7 +362,7 @@ def git_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = n.select(F.concat(F.lit("root"), "n").alias("tree_id"), F.lit("d").alias("name"), F.lit("tree").alias("kind"), F.concat(F.lit("sub"), "n").alias("child_id"))
     held = F.explode(F.array(F.concat(F.lit("b"), F.col("n") * 7 % 11), F.concat(F.lit("b"), F.col("n") % 4 + 20))).alias("child_id")
     sub = n.select(F.concat(F.lit("sub"), "n").alias("tree_id"), held).select("tree_id", F.col("child_id").alias("name"), F.lit("blob").alias("kind"), "child_id")
-    return gitgraph.first_seen(gitgraph.expand(commits, root.unionByName(sub)), parents).select("commit_id", "blob_id", "path")
+    return gitgraph.first_seen(gitgraph.introduced(commits, root.unionByName(sub), parents), parents).select("commit_id", "blob_id", "path")
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE strlen(text) <= 2000")

@@ -125,7 +125,7 @@ def from_repository(spark: SparkSession, repo: str, history: bool = True, max_si
         return data.select("content", F.to_json(plain).alias("provenance"))
     inner = contents(listed.where("kind in ('commit', 'tree')"), repo)
     about, parents = commits(inner)
-    seen = gitgraph.first_seen(gitgraph.expand(about.select("commit_id", "tree_id"), tree_entries(inner)), parents)
+    seen = gitgraph.first_seen(gitgraph.introduced(about.select("commit_id", "tree_id"), tree_entries(inner), parents), parents)
     seen = seen.withColumn("ignored", ignore.ignored(F.col("path"), ignore_lines or []))
     keep = seen.groupBy("blob_id").agg(F.min("ignored").alias("gone")).where("gone").select("blob_id")
     metadata = F.struct(*[c for c in about.columns if c != "tree_id"])
