@@ -97,7 +97,8 @@ def gather(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     parts, repos = [], []
     if a.inputs:
         parts.append(blobs.from_files(spark, a.inputs, limit, lines, store=os.path.abspath(a.datastore)))
-        repos += [p for p in sorted(set(a.inputs)) if a.git_history == "full" and git.is_repository(p)]
+        if a.git_history == "full":
+            repos += sorted({os.path.realpath(r) for p in a.inputs for r in git.repositories(p)})
     for url in sorted(set(a.git_url)):
         ok = spark.createDataFrame([(url,)], "u string").select(blobs.git_url_ok(blobs.F.col("u"))).first()[0]
         if not ok:

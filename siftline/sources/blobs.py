@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,19 +13,26 @@ from siftline.sources import ignore
 
 #: Files above are skipped unless another limit is given.
 MAX_FILE_SIZE = 100 * 1024 * 1024
+#: What is before the path, or the host, in the name of a file.
+SCHEME = "^[a-z0-9]+:(?://)?"
 INPUT = "content binary, provenance string"
 
 
 def from_files(spark: SparkSession, roots: Iterable[str], max_size: int = MAX_FILE_SIZE, ignore_lines: Iterable[str] = (), store: str | None = None) -> DataFrame:
-    """Files below ``roots``, sizes and paths tested before any content is read; a negative max_size is no limit."""
+    """Files below ``roots``; a negative max_size is no limit. Files that can't be read, or have gone since, are passed over.
+
+    Sizes and paths are tested on the listing, before any content is read: the scan takes its files by their metadata.
+    """
     parts = []
     for root in sorted(set(roots)):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        bare = root.rstrip("/").removeprefix("file://")
-        inner = F.regexp_replace(F.col("path"), "^[a-z]+:(?://)?", "")
+        files = spark.read.format("binaryFile").options(recursiveFileLookup="true", ignoreCorruptFiles="true", ignoreMissingFiles="true").load(root)
+        bare = re.sub(SCHEME, "", root.rstrip("/"))
+        # The metadata's path has its special characters escaped; url_decode would take a plus sign for a space.
+        listed = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        inner = F.regexp_replace(listed, SCHEME, "")
         inside = F.ltrim(F.substring(inner, F.lit(len(bare) + 1), F.length(inner)), F.lit("/"))
         if max_size >= 0:
-            files = files.where(F.col("length") <= max_size)
+            files = files.where(F.col("_metadata.file_size") <= max_size)
         rules = list(ignore_lines)
         if rules:
             files = files.where(~ignore.ignored(inside, rules))

@@ -1,6 +1,6 @@
 """Repositories on a path that all executors mount: objects, commits and trees as tables, by the git program.
 
-Object ids are listed on the driver and dealt to tasks; each task reads its objects from one ``git cat-file``.
+One task lists the objects; the list is dealt to tasks, each of which reads its objects from one ``git cat-file``.
 """
 
 from __future__ import annotations
@@ -8,11 +8,13 @@ from __future__ import annotations
 import os
 import subprocess
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions.shared import kept
 from siftline.operators import gitgraph
 from siftline.sources import ignore
 
@@ -30,6 +32,19 @@ def is_repository(path: str) -> bool:
     return os.path.realpath(top) in (os.path.realpath(path), os.path.realpath(os.path.join(path, ".git")))
 
 
+def repositories(root: str) -> list[str]:
+    """Repositories at or below a folder, bare or with a work tree, in order. Links aren't followed, nor git's own folders entered."""
+    found = []
+    for path, folders, files in os.walk(root.removeprefix("file://")):
+        bare = {"objects", "refs"} <= set(folders) and "HEAD" in files
+        if (bare or ".git" in folders or ".git" in files) and is_repository(path):
+            found.append(path)
+            if bare:
+                folders.clear()
+        folders[:] = sorted(f for f in folders if f != ".git")
+    return found
+
+
 def clone(url: str, target: str, mirror: bool = False) -> str:
     """Clones a repository, or brings a clone up to date; starts anew where that fails."""
     if is_repository(target):
@@ -46,10 +61,23 @@ def clone(url: str, target: str, mirror: bool = False) -> str:
 
 
 def objects(spark: SparkSession, repo: str, max_size: int = -1) -> DataFrame:
-    """(object_id, kind, size) of every object; a negative max_size is no limit on blobs."""
-    listed = run(repo, "cat-file", "--batch-all-objects", "--batch-check", "--unordered").decode().splitlines()
-    rows = [(i, k, int(n)) for i, k, n in (line.split() for line in listed)]
-    df = spark.createDataFrame(rows, "object_id string, kind string, size long") if rows else spark.createDataFrame([], "object_id string, kind string, size long")
+    """(object_id, kind, size) of every object; a negative max_size is no limit on blobs.
+
+    One task streams the listing into a table of the shared folder, dealt over as many files as there are cores.
+    """
+    fields = pa.schema([("object_id", pa.string()), ("kind", pa.string()), ("size", pa.int64())])
+
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            with subprocess.Popen(["git", "-C", repo, "-c", "safe.directory=*", "cat-file", "--batch-all-objects", "--batch-check", "--unordered"], stdout=subprocess.PIPE, text=True) as git:
+                for lines in batched(git.stdout, 50_000):
+                    ids, kinds, sizes = zip(*(line.split() for line in lines), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(kinds), pa.array(map(int, sizes), pa.int64())], schema=fields)
+            if git.returncode:
+                raise OSError(f"the objects of {repo} can't be listed")
+
+    rows = spark.range(1, numPartitions=1).mapInArrow(listing, "object_id string, kind string, size long")
+    df = kept(rows.repartition(spark.sparkContext.defaultParallelism, "object_id"), "objects")
     return df if max_size < 0 else df.where(~((F.col("kind") == "blob") & (F.col("size") > max_size)))
 
 
@@ -94,7 +122,7 @@ def commits(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def tree_entries(found: DataFrame) -> DataFrame:
-    """(tree_id, name, kind, child_id) of all trees."""
+    """(tree_id, name, kind, child_id) of all trees; what follows a broken entry is left out."""
     fields = pa.schema([(n, pa.string()) for n in ("tree_id", "name", "kind", "child_id")])
     kinds = {"40000": "tree", "100755": "blob_exec", "120000": "link", "160000": "commit"}
 
@@ -103,11 +131,10 @@ def tree_entries(found: DataFrame) -> DataFrame:
             rows = []
             for tree, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at = 0
-                while at < len(data):
-                    mode, _, rest = data[at : data.index(b"\0", at)].partition(b" ")
-                    at = data.index(b"\0", at) + 1
-                    rows.append((tree, rest.decode("utf-8", "replace"), kinds.get(mode.decode(), "blob"), data[at : at + 20].hex()))
-                    at += 20
+                while 0 <= (end := data.find(b"\0", at)) <= len(data) - 21:
+                    mode, _, rest = data[at:end].partition(b" ")
+                    at = end + 21
+                    rows.append((tree, rest.decode("utf-8", "replace"), kinds.get(mode.decode("latin-1"), "blob"), data[end + 1 : at].hex()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], schema=fields)
 
     return found.where("kind = 'tree'").select("object_id", "content").mapInArrow(parse, "tree_id string, name string, kind string, child_id string")
