@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.functions import ids
+from siftline.functions import ids, patterns
 from siftline.functions.shared import folder, kept
 from siftline.operators import gitgraph
 from siftline.operators.redundancy import redundancy
@@ -327,11 +327,25 @@ def cross_source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_rule(spark, scan(blobs.distinct(every), rules.demo()))
 
 
-@query("SELECT 0 AS num_matches WHERE false")
+def _builtin_sql() -> str:
+    """Each default rule's pattern, in plain form, searched by the SQL engine in the examples and in documents."""
+    known = rules.builtin().select("default")
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    made = ", ".join(f"({quoted(r.id)}, {quoted(r.examples[0])})" for r in known)
+    texts = f"WITH texts AS (SELECT * FROM (VALUES {made}) t(source, text) UNION ALL SELECT 'documents', text FROM documents) "
+    return texts + " UNION ALL ".join(f"SELECT source, {quoted(r.id)} AS text_id, count(*) AS n_texts FROM texts WHERE regexp_matches(text, {quoted(patterns.plain(r.pattern))}) GROUP BY source" for r in known)
+
+
+@query(_builtin_sql())
 def scan_builtin_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The default rules over documents; the test tables hold nothing that they match."""
-    found = scan(blobs.distinct(inputs(spark, sf_dir)), rules.builtin().select("default"))
-    return found.groupBy("rule_structural_id").agg(F.count(F.lit(1)).cast("int").alias("num_matches")).select("num_matches")
+    """Which default rules match which rule's example, and how many documents (the test tables hold few or none that they match)."""
+    known = rules.builtin().select("default")
+    examples = spark.createDataFrame([(r.id, r.examples[0]) for r in known], "source string, text string")
+    texts = examples.unionByName(table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), "text")).where("text is not null")
+    rows = texts.select(ids.blob_id(F.col("text").cast("binary")).alias("blob_id"), F.col("text").cast("binary").alias("content"), F.octet_length("text").cast("long").alias("size"), "source")
+    found = scan(blobs.distinct(rows), known).select("blob_id", "rule_structural_id").distinct()
+    named = rules.frame(spark, known).select("rule_structural_id", "text_id")
+    return rows.select("blob_id", "source").join(found, "blob_id").join(named, "rule_structural_id").groupBy("source", "text_id").agg(F.count(F.lit(1)).alias("n_texts"))
 
 
 @query("""SELECT sha1(concat('blob ', strlen(text), chr(0), text)) AS blob_id, concat('{"kind":"extended","payload":{"doc":', doc_id, '}}') AS provenance FROM documents""")

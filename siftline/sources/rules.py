@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 import yaml
@@ -82,7 +82,12 @@ class Rules:
 
 
 def builtin() -> Rules:
-    return Rules().load(HERE / "rules.yml")
+    """The built-in rules, each with an example that is made from its pattern."""
+    known = Rules().load(HERE / "rules.yml")
+    for r in known.rules.values():
+        made = patterns.example(r.pattern)
+        known.rules[r.id] = replace(r, examples=r.examples or ((made,) if made else ()))
+    return known
 
 
 def demo() -> list[Rule]:
