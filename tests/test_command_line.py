@@ -51,3 +51,11 @@ def test_profile(spark):
     hits = {r["rule_structural_id"]: r["hits"] for r in profile(rows, rules.demo()).collect()}
     named = {r.structural_id: r.id for r in rules.demo()}
     assert {named[k]: n for k, n in hits.items() if n} == {"demo.ipv4.1": 2, "demo.license.1": 1}
+
+
+def test_nested_repositories(tmp_path):
+    for args in (["init", "-q", "a/b"], ["init", "-q", "a/b/c/d"], ["init", "-q", "--bare", "e.git"]):
+        subprocess.run(["git", *args], cwd=tmp_path, check=True, capture_output=True)
+    (tmp_path / "plain" / "objects").mkdir(parents=True)
+    assert git.repositories(f"file://{tmp_path}") == [str(tmp_path / p) for p in ("a/b", "a/b/c/d", "e.git")]
+    assert git.repositories(str(tmp_path / "plain")) == []
