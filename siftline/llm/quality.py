@@ -29,8 +29,6 @@ from siftline.llm import _work
 
 #: Common words of a language.
 COMMON = 50
-#: Least share of all words that gives a language its own reference in the SQL of op10; ``table`` has one for every language.
-LEAST_SHARE = 0.01
 #: Guards: least characters and words for the two judgements.
 LEAST_CHARS, LEAST_WORDS = 200, 50
 #: Guards: least sums of a language that others of its documents are judged by.

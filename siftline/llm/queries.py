@@ -100,9 +100,12 @@ def _op7_sql() -> str:
     h AS ({" UNION ALL ".join(kinds)}),
     s AS (SELECT rid, doc_id, source, kind, least, vals[i] AS value, hits[i] AS hit,
         CAST(list_sum([length(x) for x in parts[1:i]]) + coalesce(list_sum([length(x) for x in hits[1:i-1]]), 0) AS BIGINT) AS first FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM h)),
-    f AS (SELECT *, first + length(hit) AS last, length(value) >= 16 AND len(list_distinct(string_split(value, ''))) >= 9 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+    f AS (SELECT *, first + length(hit) AS last, (regexp_matches(hit, {_text(secrets.PASSWORD)})
+        OR length(value) >= 16 AND len(list_distinct(string_split(value, ''))) >= 9 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]'))
         AND NOT regexp_matches(value, {_text(secrets.PLACEHOLDER)}) AS looks_live FROM s WHERE length(value) >= least),
-    owned AS (SELECT value FROM f WHERE looks_live GROUP BY value HAVING count(DISTINCT coalesce(source, '')) < {secrets.COPIED}),
+    repo AS (SELECT value, text, min(coalesce(CAST(doc_id AS VARCHAR), '')) AS repository FROM f JOIN (SELECT rid, text FROM d) USING (rid) WHERE looks_live GROUP BY ALL),
+    owned AS (SELECT value FROM f WHERE looks_live GROUP BY value HAVING count(DISTINCT coalesce(source, '')) < {secrets.COPIED}
+        INTERSECT SELECT value FROM repo GROUP BY value HAVING count(DISTINCT repository) < {secrets.COPIED_REPOSITORIES}),
     live AS (SELECT DISTINCT rid, last - length(value) AS first, {len(secrets.KINDS)} AS kind, last FROM f WHERE looks_live AND value IN (SELECT value FROM owned)),
     b AS (SELECT rid, string_agg({one}, ',' ORDER BY first, kind) AS base, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS x FROM f GROUP BY rid),
     e AS (SELECT rid, string_agg({one}, ',' ORDER BY first, kind) AS spans FROM (SELECT rid, first, kind, last FROM f UNION ALL SELECT rid, first, kind, last FROM live) GROUP BY rid)
@@ -130,17 +133,14 @@ def _op10_sql() -> str:
         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d JOIN w0 USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN line USING (rid)),
     c AS (SELECT *, a - ({some}) AS c8, strlen(text) - a AS c9 FROM (SELECT rid, lang, text, length(regexp_replace(text, '[^\x00-\x7f]', '', 'g')) AS a, {counts} FROM d)),
     cl AS (SELECT rid, lang, strlen(text) AS bytes, unnest([{each}]) AS n, unnest(range(10)) AS class FROM c),
-    large AS (SELECT lang FROM w WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {quality.LEAST_SHARE} * (SELECT count(*) FROM w)),
-    own AS (SELECT rid, coalesce(large.lang, '') AS ref FROM d LEFT JOIN large USING (lang)),
-    refs AS (SELECT lang AS ref, lang FROM large UNION ALL SELECT '', NULL),
-    rc AS (SELECT ref, class, n / sum(n) OVER (PARTITION BY ref) AS q FROM (SELECT ref, class, sum(n)::DOUBLE AS n FROM refs JOIN cl ON refs.lang = cl.lang OR refs.lang IS NULL GROUP BY ALL)),
-    top AS (SELECT ref, w, n, row_number() OVER (PARTITION BY ref ORDER BY n DESC, encode(w)) AS place, sum(n) OVER (PARTITION BY ref) AS total FROM (SELECT ref, w, count(*)::DOUBLE AS n FROM refs JOIN w ON refs.lang = w.lang OR refs.lang IS NULL GROUP BY ALL)),
-    rw0 AS (SELECT ref, w, n / total AS q FROM top WHERE place <= {quality.COMMON}),
-    rw AS (SELECT * FROM rw0 UNION ALL SELECT ref, NULL, 1 - sum(q) FROM rw0 GROUP BY ref),
-    dc AS (SELECT rid, sqrt(greatest(sum({term("p", "q")}) + sum({term("q", "p")}), 0) / 2) AS dist FROM (SELECT rid, n / bytes::DOUBLE AS p, q FROM cl JOIN own USING (rid) JOIN rc USING (ref, class) WHERE bytes >= {quality.LEAST_CHARS}) GROUP BY rid),
-    dw0 AS (SELECT rid, ref, rw0.w AS w, count(*)::DOUBLE AS n FROM w JOIN own USING (rid) LEFT JOIN rw0 USING (ref, w) GROUP BY ALL),
+    rc AS (SELECT lang, class, n / total AS q FROM (SELECT lang, class, sum(n)::DOUBLE AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM cl WHERE lang IS NOT NULL GROUP BY lang, class) WHERE total >= {quality.LEAST_SUM_CHARS}),
+    top AS (SELECT lang, w, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, encode(w)) AS place, sum(n) OVER (PARTITION BY lang) AS total FROM (SELECT lang, w, count(*)::DOUBLE AS n FROM w WHERE lang IS NOT NULL GROUP BY lang, w)),
+    rw0 AS (SELECT lang, w, n / total AS q FROM top WHERE place <= {quality.COMMON} AND total >= {quality.LEAST_SUM_WORDS}),
+    rw AS (SELECT * FROM rw0 UNION ALL SELECT lang, NULL, 1 - sum(q) FROM rw0 GROUP BY lang),
+    dc AS (SELECT rid, sqrt(greatest(sum({term("p", "q")}) + sum({term("q", "p")}), 0) / 2) AS dist FROM (SELECT rid, n / bytes::DOUBLE AS p, q FROM cl JOIN rc USING (lang, class) WHERE bytes >= {quality.LEAST_CHARS}) GROUP BY rid),
+    dw0 AS (SELECT rid, rw0.w AS w, count(*)::DOUBLE AS n FROM w LEFT JOIN rw0 ON rw0.lang = w.lang AND rw0.w = w.w GROUP BY ALL),
     dw AS (SELECT rid, sqrt(greatest(sum({term("p", "q")}) + sum({term("q", "p")}), 0) / 2) AS dist FROM
-        (SELECT b.rid, coalesce(dw0.n, 0) / b.n_words AS p, q FROM b JOIN own USING (rid) JOIN rw ON rw.ref = own.ref LEFT JOIN dw0 ON dw0.rid = b.rid AND dw0.w IS NOT DISTINCT FROM rw.w WHERE b.n_words >= {quality.LEAST_WORDS}) GROUP BY rid),
+        (SELECT b.rid, coalesce(dw0.n, 0) / b.n_words AS p, q FROM b JOIN rw USING (lang) LEFT JOIN dw0 ON dw0.rid = b.rid AND dw0.w IS NOT DISTINCT FROM rw.w WHERE b.n_words >= {quality.LEAST_WORDS}) GROUP BY rid),
     f AS (SELECT *, n_words < {quality.LEAST_BASE_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM b)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(dc.dist, 0) <= {quality.CLASS_LIMIT} + {quality.CLASS_SLACK} / sqrt(greatest(strlen(text), 1))
         AND coalesce(dw.dist, 0) <= {quality.WORD_LIMIT} + {quality.WORD_SLACK} / sqrt(greatest(n_words, 1)) AS kept FROM f LEFT JOIN dc USING (rid) LEFT JOIN dw USING (rid)"""

@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 
 from siftline.llm import bpe, fingerprint, minhash, mixing, quality, secrets, sharding, suffix, toxicity, warc
+from siftline.llm.queries import oracle_sql
+from tests.conftest import rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -18,6 +20,15 @@ def texts(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 
 
+def same_as_sql(name, df, result):
+    """Whether the query's SQL gives ``result`` over the rows ``df`` as documents."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    return rows_of(result.toPandas()) == rows_of(con.execute(oracle_sql()[name]).df())
+
+
 # Toxicity
 
 
@@ -371,6 +382,7 @@ def test_secrets_copied_within_one_owner(spark):
     df = spark.createDataFrame([(*r, "hot") for r in rows], "doc_id long, text string, source string")
     live = {r["doc_id"] for r in secrets.digests(df).collect() if "live" in r["spans"]}
     assert live == {i for i, _ in rows if i >= 100}
+    assert same_as_sql("op7_secret_ownership", df, secrets.digests(df))
     masked = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
     assert masked[0] == rows[0][1] and masked[100] == "page 0: token=<SECRET>"
 
@@ -379,6 +391,7 @@ def test_short_passwords_are_live(spark):
     rows = [(1, "password: hunter2Xq", "a"), (2, "Passwd=834615", "a"), (3, "token=hunter2Xq", "a"), (4, "password=changeme1", "a"), (5, "password=ab1", "a"), *[(6 + i, f"{i} password=letmein77", s) for i, s in enumerate("abc")]]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert {r["doc_id"] for r in secrets.digests(df).collect() if "live" in r["spans"]} == {1, 2}
+    assert same_as_sql("op7_secret_ownership", df, secrets.digests(df))
     assert {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}[1] == "password: <SECRET>"
 
 
@@ -516,3 +529,4 @@ def test_quality_of_rare_and_unknown_languages(spark, docs):
     assert 11 * 300 < total / 100
     kept = {r["doc_id"]: r["kept"] for r in quality.rules(rows).where("doc_id >= 1000").collect()}
     assert kept == {i: i != 1012 for i in range(1000, 1013)}
+    assert same_as_sql("op10_divergence_quality", rows, quality.rules(rows).drop("class_distance", "word_distance"))
