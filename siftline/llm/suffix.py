@@ -8,12 +8,16 @@ the phrases of another.
 
 Dictionary: phrases meet by the hash of their trigger. A phrase that stands earlier in the corpus, by 64 bits
 of its trigger's hash and 64 of its own (the bytes aren't compared), is a copy: all its strings are repeats. A trigger that occurs
-once has none. Highly repetitive text so shrinks to the first occurrences of its phrases.
+once has none. Highly repetitive text so shrinks to the first occurrences of its phrases. A task remembers phrases,
+above all those that came again, so it passes a frequent one on about once. Triggers are counted before, in
+buckets; what falls into a bucket that holds very many is dealt by trigger and phrase rather than by trigger, so
+no trigger, however common and in however many contexts, fills a task.
 
 Suffix order: only phrases that differ but share a trigger are left (edges of passages and edits). Their
 suffixes of 100 bytes are sorted as a suffix array to that depth, in runs of whole triggers, equal suffixes
 in corpus order by the parse (document, place); all but the first of a run are repeats. Triggers that very many
-different phrases share are split by hashes of the 100-byte strings instead, in as many tasks as they need.
+different phrases share, and those of full buckets, are split by hashes of the 100-byte strings instead, in as many
+tasks as they need.
 
 Positions are judged on the input; matches never cross documents; removed runs are the union of repeats.
 
@@ -45,8 +49,17 @@ SORTED = 8_000
 CROWDED = 20_000
 #: Crowded triggers are broadcast: there are fewer than this.
 MOST_CROWDED = 200_000
+#: Buckets of triggers that are counted; a task reports those in which it has LEAST_COUNT phrases.
+BUCKETS, LEAST_COUNT = 1 << 20, 64
+#: Reported phrases beyond which a bucket is full, and the bound of full buckets (they are broadcast).
+FULL, MOST_FULL = 1_000_000, 1 << 14
+#: Tasks that a full bucket's phrases are dealt to, at most.
+SALTS = 4_096
+#: Phrases that a task remembers.
+REMEMBERED = 100_000
 _BASE = 0x9E3779B97F4A7C15 | 1
-_COPY = 255
+#: Low byte of a phrase's place: its number of starts (PLACES at most), with _FULL set if its bucket is full; _COPY for a span.
+_COPY, _FULL = 255, 128
 
 
 @cache
@@ -115,12 +128,53 @@ def spans_of(order: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np
     return order[at], first[at], np.maximum.reduceat(last, at)
 
 
+def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, n): phrases of a task by bucket of their trigger, where they are many."""
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for data, parts in pieces(*_work.columns(batch, "ord", "text")):
+            sizes = np.array([p[2] for p in parts])
+            _, _, key = phrases(data, np.repeat(np.cumsum(sizes), sizes))
+            np.add.at(total, (key & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+    many = np.flatnonzero(total >= LEAST_COUNT)
+    yield pa.RecordBatch.from_arrays([pa.array(many), pa.array(total[many])], names=["bucket", "n"])
+
+
+class Firsts:
+    """What a task remembers of phrases: the least place so far. When full it forgets all that didn't come again."""
+
+    def __init__(self) -> None:
+        self.seen: dict[int, tuple[int, int, int]] = {}
+        self.again: set[int] = set()
+
+    def copies(self, key: np.ndarray, ctx: np.ndarray, order: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Which of these phrases stand behind an equal one that has already gone on; equal is by key and ctx."""
+        copy = np.zeros(len(key), bool)
+        seen, again = self.seen, self.again
+        name = key.view(np.uint64) ^ mix(ctx.view(np.uint64))  # name and ctx give the key again
+        for i, (n, c, *place) in enumerate(zip(name.tolist(), ctx.tolist(), order.tolist(), pos.tolist(), strict=True)):
+            held = seen.get(n)
+            if held is None or held[0] != c:
+                seen[n] = (c, *place)
+            else:
+                again.add(n)
+                if held[1:] < tuple(place):
+                    copy[i] = True
+                else:
+                    seen[n] = (c, *place)
+        if len(seen) > REMEMBERED:
+            self.seen = {n: seen[n] for n in again} if 2 * len(again) <= REMEMBERED else {}
+            again.clear()
+        return copy
+
+
 PHRASE = "key long, ctx long, ord long, pos long"
 PHRASE_ARROW = pa.schema([(f.split()[0], pa.int64()) for f in PHRASE.split(", ")])
 
 
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases (trigger, phrase hash, document, start * 256 + starts); copies within a piece come out as spans at once."""
+    """Phrases (trigger, phrase hash, document, start * 256 + starts); copies of what the task remembers come out as spans at once."""
+    firsts = Firsts()
     for batch in batches:
         for data, parts in pieces(*_work.columns(batch, "ord", "text")):
             sizes = np.array([p[2] for p in parts])
@@ -135,15 +189,22 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ctx = np.fromiter((xxhash.xxh3_64_intdigest(view[s : s + k]) for s, k in zip(first.tolist(), (n + LENGTH - 1).tolist(), strict=True)), np.uint64, len(first))
             by = np.lexsort((start, order, ctx, key))
             copy = np.concatenate([[False], (key[by][1:] == key[by][:-1]) & (ctx[by][1:] == ctx[by][:-1])])
-            lead, rest = by[~copy], by[copy]
-            o, s, e = spans_of(order[rest], start[rest], start[rest] + n[rest] + LENGTH - 1)
-            spread = mix(o.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([key[lead].view(np.int64), spread.view(np.int64)])),
-                pa.array(np.concatenate([ctx[lead].view(np.int64), e])),
-                pa.array(np.concatenate([order[lead], o])),
-                pa.array(np.concatenate([start[lead] * 256 + n[lead], s * 256 + _COPY])),
-            ], schema=PHRASE_ARROW)
+            lead = by[~copy]
+            copy[~copy] = firsts.copies(key[lead], ctx[lead], order[lead], start[lead])
+            yield passed_on(key[by], ctx[by], order[by], start[by], n[by], copy)
+
+
+def passed_on(key: np.ndarray, ctx: np.ndarray, order: np.ndarray, start: np.ndarray, n: np.ndarray, copy: np.ndarray) -> pa.RecordBatch:
+    """Phrases, and the unions of copies as spans, which are dealt evenly."""
+    lead = ~copy
+    o, s, e = spans_of(order[copy], start[copy], start[copy] + n[copy] + LENGTH - 1)
+    spread = mix(o.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64))
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([key[lead].view(np.int64), spread.view(np.int64)])),
+        pa.array(np.concatenate([ctx[lead].view(np.int64), e])),
+        pa.array(np.concatenate([order[lead], o])),
+        pa.array(np.concatenate([start[lead] * 256 + n[lead], s * 256 + _COPY])),
+    ], schema=PHRASE_ARROW)
 
 
 FOUND = "kind int, key long, ord long, first long, last long"
@@ -151,7 +212,7 @@ FOUND_ARROW = pa.schema([("kind", pa.int32()), *[(f, pa.int64()) for f in ("key"
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases sorted by (key, ctx, ord, pos) to spans of copies (kind 0) and first phrases of shared triggers (kind 1).
+    """Phrases sorted by (key, ctx, ord, pos) to spans of copies (kind 0) and first phrases of shared triggers (kind 1) and of full buckets (kind 2).
 
     One row is held back at most: the first phrase of a trigger, until a different one of it is seen.
     """
@@ -170,7 +231,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same_key[1:], same[1:] = key[1:] == key[:-1], (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1])
             same_key[0] = before is not None and key[0] == before[0]
             same[0] = same_key[0] and ctx[0] == before[1]
-            spans.append((order[same], pos[same] >> 8, (pos[same] >> 8) + (pos[same] & 255) + LENGTH - 1))
+            spans.append((order[same], pos[same] >> 8, (pos[same] >> 8) + (pos[same] & _FULL - 1) + LENGTH - 1))
             lead = np.flatnonzero(~same)
             another = same_key[lead]
             if len(lead):
@@ -178,17 +239,19 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     left.append(tuple(np.array([x]) for x in pending))
                 shared = another.copy()
                 shared[:-1] |= another[1:]
+                full = (pos[lead] & _FULL) > 0  # dealt by trigger and phrase: others of the trigger are elsewhere
+                shared |= full
                 chosen = lead[shared]
                 left.append((key[chosen], order[chosen], pos[chosen]))
                 final = lead[-1]
-                pending = None if another[-1] else (key[final], order[final], pos[final])
+                pending = None if another[-1] or full[-1] else (key[final], order[final], pos[final])
             before = (key[-1], ctx[-1])
         o, first, last = spans_of(*(np.concatenate(x) for x in zip(*spans, strict=True)))
         k, p_order, p = (np.concatenate([x[i] for x in left]) if left else np.empty(0, np.int64) for i in range(3))
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([np.zeros(len(o)), np.ones(len(k))]).astype(np.int32)),
+            pa.array(np.concatenate([np.zeros(len(o)), np.where(p & _FULL, 2, 1)]).astype(np.int32)),
             pa.array(np.concatenate([np.zeros(len(o), np.int64), k])), pa.array(np.concatenate([o, p_order])),
-            pa.array(np.concatenate([first, p >> 8])), pa.array(np.concatenate([last, p & 255])),
+            pa.array(np.concatenate([first, p >> 8])), pa.array(np.concatenate([last, p & _FULL - 1])),
         ], schema=FOUND_ARROW)
 
 
@@ -201,8 +264,9 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every 100-byte string of crowded triggers' phrases, as a phrase of one start with two hashes of its own."""
-    for batch in cut(batches):
+    """Every 100-byte string of phrases (ord, first, bytes), as a phrase of one start with two hashes of its own."""
+    firsts = Firsts()
+    for batch in batches:
         key, ctx, order, pos = [], [], [], []
         for o, first, raw in zip(*_work.columns(batch, "ord", "first", "bytes"), strict=True):
             for j in range(len(raw) - LENGTH + 1):
@@ -210,8 +274,9 @@ def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key.append(xxhash.xxh3_64_intdigest(part) - (1 << 63))
                 ctx.append(xxhash.xxh64_intdigest(part) - (1 << 63))
                 order.append(o)
-                pos.append((first + j) * 256 + 1)
-        yield _work.out(PHRASE_ARROW, [key, ctx, order, pos])
+                pos.append(first + j)
+        columns = [np.array(x, np.int64) for x in (key, ctx, order, pos)]
+        yield passed_on(*columns, np.ones(len(key), np.int64), firsts.copies(*columns))
 
 
 def sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,8 +314,21 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ids = _work.with_rank(texts.select("doc_id", "text_key").distinct(), [F.col("doc_id").asc_nulls_last(), F.col("text_key")], "ord", "order")
         ids = _work.materialise(ids, "order").withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
         texts = texts.dropDuplicates(["doc_id", "text_key"]).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).drop("_id", "_key")
-
-    parsed = texts.select("ord", "text").mapInArrow(parse, PHRASE).repartition("key").sortWithinPartitions("key", "ctx", "ord", "pos")
+        texts = _work.materialise(texts, "texts")  # a task that runs again reads the same rows in the same order
+
+    counted = _work.materialise(texts.select("ord", "text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "counts")
+    bound = max(FULL, (counted.agg(F.sum("n")).first()[0] or 0) // MOST_FULL)
+    full = counted.where(F.col("n") > bound).select("bucket")  # under MOST_FULL, as each has more than that part of the sum
+    parsed = texts.select("ord", "text").mapInArrow(parse, PHRASE)
+    keys = ["key"]
+    if not full.isEmpty():
+        bucket = F.col("key").bitwiseAND(BUCKETS - 1)
+        parsed = parsed.join(F.broadcast(full.withColumn("full", F.lit(True))), F.col("bucket") == bucket, "left")
+        split = F.col("full").isNotNull() & (F.col("pos").bitwiseAND(_COPY) != _COPY)
+        salt = F.when(split, F.pmod("ctx", F.lit(SALTS))).otherwise(0)
+        parsed = parsed.select("key", "ctx", "ord", F.when(split, F.col("pos") + _FULL).otherwise(F.col("pos")).alias("pos"), salt.alias("salt"))
+        keys.append("salt")
+    parsed = parsed.repartition(*keys).sortWithinPartitions("key", "ctx", "ord", "pos").select("key", "ctx", "ord", "pos")
     found = _work.materialise(parsed.mapInArrow(meet, FOUND), "phrases")
     spans = found.where("kind = 0").select("ord", "first", "last")
     left = found.where("kind = 1")
@@ -267,8 +345,10 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bytes_ = placed(plain).mapInArrow(cut, "key long, ord long, first long, bytes binary").repartition("key").sortWithinPartitions("key", "ord", "first")
     more = _work.materialise(bytes_.mapInArrow(sort_suffixes, "ord long, first long, last long"), "repeats")
     spans = spans.unionByName(more)
-    if not crowd.isEmpty():
-        rows = placed(left.join(F.broadcast(crowd), "key", "left_semi")).mapInArrow(strings, PHRASE).repartition("key").sortWithinPartitions("key", "ctx", "ord", "pos")
+    if not (full.isEmpty() and crowd.isEmpty()):
+        rows = left.join(F.broadcast(crowd), "key", "left_semi").unionByName(found.where("kind = 2"))
+        rows = _work.materialise(placed(rows).mapInArrow(cut, "key long, ord long, first long, bytes binary"), "crowds")
+        rows = rows.mapInArrow(strings, PHRASE).repartition("key").sortWithinPartitions("key", "ctx", "ord", "pos")
         more = _work.materialise(rows.mapInArrow(meet, FOUND), "strings")
         spans = spans.unionByName(more.where("kind = 0").select("ord", "first", "last"))
     return texts, spans

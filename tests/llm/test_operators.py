@@ -419,12 +419,35 @@ def test_repeats(spark, docs, monkeypatch):
     rows = [(i, "".join(rng.choice(list("abcd \n"), int(rng.integers(50, 900))))) for i in range(60)]
     rows += [(60 + i, rows[i % 7][1][30:240] + rows[20 + i][1] + rows[i % 5][1][:150]) for i in range(40)]
     rows += [(100, "a" * 700), (101, "ab" * 400), (102, None), (103, ""), (104, "x" * 99), (105, "x" * 100), (106, "x" * 100)]
+    line = "".join(rng.choice(list("abcd "), 130))  # a line in very many contexts
+    rows += [(200 + i, "".join(rng.choice(list("efgh "), int(rng.integers(20, 90)))) + line + "".join(rng.choice(list("ijkl "), 40))) for i in range(400)]
     planted = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, ord int")
     for df in (docs, planted):
         got = {r["doc_id"]: tuple(r)[1:] for r in suffix.digests(df).collect()}
         assert got == brute_repeats(texts(df))
     monkeypatch.setattr(suffix, "CROWDED", 2)  # every shared trigger is crowded
     assert {r["doc_id"]: tuple(r)[1:] for r in suffix.digests(planted).collect()} == brute_repeats(rows)
+    monkeypatch.setattr(suffix, "FULL", 70)  # buckets of the line's triggers and of the runs of one letter are full
+    counted = planted.selectExpr("doc_id as ord", "cast(text as binary) as text").mapInArrow(suffix.count, "bucket long, n long")
+    assert counted.groupBy("bucket").sum("n").where("`sum(n)` > 70").count() >= 3
+    for crowded in (2, 20_000):
+        monkeypatch.setattr(suffix, "CROWDED", crowded)
+        assert {r["doc_id"]: tuple(r)[1:] for r in suffix.digests(planted).collect()} == brute_repeats(rows)
+
+
+def test_what_a_task_remembers(monkeypatch):
+    monkeypatch.setattr(suffix, "REMEMBERED", 40)
+    rng = np.random.default_rng(5)
+    firsts, least, copies = suffix.Firsts(), {}, 0
+    for _ in range(200):
+        key, ctx, order, pos = rng.integers(0, 30, 8), rng.integers(-2, 2, 8), rng.integers(0, 1000, 8), rng.integers(0, 50, 8)
+        for k, c, o, p, copy in zip(key, ctx, order, pos, firsts.copies(key, ctx, order, pos), strict=True):
+            place = (int(o), int(p))
+            assert not copy or least[k, c] < place  # a copy stands behind one that has gone on
+            least[k, c] = min(place, least.get((k, c), place))
+            copies += copy
+        assert len(firsts.seen) <= 40
+    assert copies > 200
 
 
 def test_parsing_in_pieces(monkeypatch):
