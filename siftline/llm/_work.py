@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's switch for the shuffle files of a query to go when it has ended, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Number of buckets of a membership filter that is broadcast (see ``marks``): a fixed bound.
 MARKS = 1 << 19
 
@@ -36,10 +38,18 @@ def prepare(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors, computed once."""
+    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors, computed once.
+
+    The shuffle files of the write are deleted with its end.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

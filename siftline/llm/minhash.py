@@ -140,7 +140,11 @@ def lists(sets: list[np.ndarray]) -> pa.ListArray:
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets are linked: common * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (n + m)."""
+    """The pairs (a, b) of doc_ids whose sets are linked: common * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (n + m).
+
+    Sets of no pair are mostly left out before the exchange (see ``_work.marks``); the joins decide.
+    """
+    sets = _work.marked(sets, _work.marks(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"), "id")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     linked = (NUMERATOR + DENOMINATOR) * F.size(F.array_intersect("x", "y")) >= NUMERATOR * (F.size("x") + F.size("y"))
     return both.where(linked).select("a", "b").distinct()
@@ -178,7 +182,8 @@ def rare_pairs(sets: DataFrame, ids: DataFrame) -> DataFrame:
     set meets others by its first n / 7 elements alone. Documents that only share a common passage don't pass: the
     passage stands behind what is their own.
     """
-    known = sets.join(ids, "id").select("id", "key", "comp", F.size("shingles").alias("size"), "shingles")
+    known = _work.marked(sets, _work.marks(ids, "id"), "id").join(ids, "id")
+    known = _work.materialise(known.select("id", "key", "comp", F.size("shingles").alias("size"), "shingles"), "known")  # read three times, dealt once
     rows = known.select("key", "size", F.explode("shingles").alias("shingle"))
     often = _work.materialise(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
     place = F.dense_rank().over(Window.partitionBy("key").orderBy("often", "shingle"))
@@ -188,6 +193,7 @@ def rare_pairs(sets: DataFrame, ids: DataFrame) -> DataFrame:
     rows = rows.where(larger & (F.col("often") > 1)).select("key", "shingle", "left").distinct()
     rare = _work.materialise(rows.join(known.select("id", "key", "comp", "size"), "key").drop("key"), "rare")
     _work.discard(often)
+    _work.discard(known)
     first = rare.where(whole * F.col("left") >= 2 * NUMERATOR * F.col("size"))
     other = rare.select("shingle", F.col("id").alias("x"), F.col("comp").alias("x_comp"), F.col("size").alias("x_size"), F.col("left").alias("x_left"))
     ordered = F.struct("size", "id") < F.struct("x_size", "x")

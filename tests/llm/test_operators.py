@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from siftline.llm import bpe, fingerprint, minhash, mixing, quality, secrets, sharding, suffix, toxicity, warc
+from siftline.llm import _work, bpe, fingerprint, minhash, mixing, quality, secrets, sharding, suffix, toxicity, warc
 from siftline.llm.queries import oracle_sql
 from tests.conftest import rows_of
 
@@ -245,6 +245,25 @@ def test_near_duplicates_of_nothing(empty):
     assert minhash.groups(empty).count() == 0
 
 
+def test_shuffle_files_go_with_their_query(spark, docs):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = set(files.getAllFiles().mkString("\n").split("\n"))
+    made = _work.materialise(docs.repartition(3, "doc_id"), "made")
+    after = set(files.getAllFiles().mkString("\n").split("\n"))
+    assert made.count() == docs.count() and not any("shuffle_" in f for f in after - before)
+    assert spark.conf.get(_work.CLEANUP) == "false"
+
+
+def test_sets_of_no_pair_are_not_dealt(spark):
+    n = 400
+    sets = spark.createDataFrame([(i, i, [i, -i]) for i in range(1, n)], "id long, key long, shingles array<long>")
+    pairs = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
+    left = _work.marked(sets, _work.marks(pairs.selectExpr("explode(array(a, b)) as id"), "id"), "id")
+    assert {1, 2, 3, 4} <= {r["id"] for r in left.collect()} and left.count() < 20
+    plan = minhash.verify(pairs, sets)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2 and minhash.verify(pairs, sets).count() == 0
+
+
 def test_deduplicate_by_row(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
     near = b.replace("b0 ", "z ")
