@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Spark's switch for the shuffle files of a query to go when it has ended, not when the driver collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch: a Python worker holds the texts of one, as strings and words, several times over.
+BATCH_BYTES = 2 << 20
 #: Number of buckets of a membership filter that is broadcast (see ``marks``): a fixed bound.
 MARKS = 1 << 19
 
@@ -34,7 +37,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 def prepare(spark: SparkSession) -> None:
     """Arrow batches are bounded by bytes, so that a run of very long texts stays small in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -100,6 +103,28 @@ def marked(df: DataFrame, filter_: DataFrame, *columns: str, keep: bool = True)
     return found.join(F.broadcast(filter_), "_mark", "left_semi" if keep else "left_anti").drop("_mark")
 
 
+def give_back() -> None:
+    """Free memory of this process goes to the system: a Python worker waits for later tasks with all that it keeps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
+def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; when its task ends, ``forget`` is called and what is free goes back to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            give_back()
+
+    return whole
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 

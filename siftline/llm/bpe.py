@@ -118,6 +118,9 @@ class Codec:
         self.split = regex.compile(self.pattern).findall
         self.split_plain = re.compile(plain).findall if (plain := in_plain_letters(self.pattern)) else self.split
 
+    def forget(self) -> None:
+        self.memory.clear()
+
     def __getstate__(self) -> tuple:
         return self.pattern, self.table, self.ranks, self.vocabulary
 
@@ -184,7 +187,7 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text") -> DataFrame:
             ids = pa.array([np.frombuffer(codec.encode(t or ""), "<i4") for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(_work.task(run, codec.forget), schema)
 
 
 def decode(docs: DataFrame, codec: Codec, ids: str = "ids") -> DataFrame:
@@ -199,7 +202,7 @@ def decode(docs: DataFrame, codec: Codec, ids: str = "ids") -> DataFrame:
             raw = pa.array([codec.decode(np.array(r or [], "<u4").tobytes()) for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], raw], names=[*kept, "decoded"])
 
-    return docs.select(*kept, ids).mapInArrow(run, schema)
+    return docs.select(*kept, ids).mapInArrow(_work.task(run, codec.forget), schema)
 
 
 def digests(docs: DataFrame, codec: Codec) -> DataFrame:
@@ -218,7 +221,7 @@ def digests(docs: DataFrame, codec: Codec) -> DataFrame:
                 [hashlib.sha256(codec.decode(p)).hexdigest() for p in packed],
             ])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_work.task(run, codec.forget), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def checked(docs: DataFrame, codec: Codec, text: str = "text") -> DataFrame:
@@ -236,4 +239,4 @@ def checked(docs: DataFrame, codec: Codec, text: str = "text") -> DataFrame:
             own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*own, ids, pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(same, pa.bool_())], names=[*kept, "ids", "n_tokens", "round_trip"])
 
-    return docs.select(*kept, text).mapInArrow(run, schema)
+    return docs.select(*kept, text).mapInArrow(_work.task(run, codec.forget), schema)

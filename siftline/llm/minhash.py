@@ -108,7 +108,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield _work.out(fields, [doc_ids, [len(s) for s in sets], hashes, [bands(sketch(s)) if len(s) else [] for s in sets]])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    return rows.mapInArrow(_work.task(run), "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                     rows, sets, size = [], [], 0
             yield _work.out(fields, [[r[0] for r in rows], [r[1] for r in rows], lists(sets)])
 
-    return _work.marked(texts, chosen, "id").mapInArrow(run, "id long, key long, shingles array<long>")
+    return _work.marked(texts, chosen, "id").mapInArrow(_work.task(run), "id long, key long, shingles array<long>")
 
 
 def lists(sets: list[np.ndarray]) -> pa.ListArray:

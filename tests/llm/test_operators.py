@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -185,6 +186,27 @@ def test_bpe_like_tiktoken(spark, codec, docs, odd, empty):
     assert set(bpe.checked(odd, codec).select("round_trip").distinct().toPandas()["round_trip"]) == {True}
 
 
+def test_a_task_gives_back_its_memory(codec):
+    """Its own words, and free memory that a later allocation keeps from the system."""
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    def run(batches):
+        held = [bytes(1000) for _ in range(200_000)]
+        pinned.append(bytes(1000))
+        sizes.append(resident())
+        for batch in batches:
+            codec.encode("words that a task remembers")
+            assert codec.memory and held
+            yield batch
+
+    pinned, sizes = [], []
+    assert list(_work.task(run, codec.forget)(iter([1, 2]))) == [1, 2]
+    assert not codec.memory and resident() < sizes[0] - (100 << 20)
+
+
 def test_perfect_hash():
     ranks = {bytes([i, j]): i * 256 + j for i in range(40) for j in range(40)}
     table = bpe.PerfectHash(ranks)
